@@ -1,4 +1,10 @@
 """Registry of the queries on the driver tables and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from triagelake.plans import entity_plans, quality_plans, retrieval_plans, text_plans
+
+QUERIES, ORACLES = {}, {}
+for module in (entity_plans, retrieval_plans, text_plans, quality_plans):
+    QUERIES |= module.REGISTRY.queries
+    ORACLES |= module.REGISTRY.oracles
