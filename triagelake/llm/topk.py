@@ -77,8 +77,8 @@ def _narrow(data: np.ndarray) -> bytes:
     return bytes([size]) + data.astype(f"<i{size}").tobytes()
 
 
-def _wide(raw: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).reshape(-1, width) if width else np.zeros((0, 0), np.int64)
+def _wide(raw: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).reshape(n, width)
 
 
 def _matrices(q: np.ndarray, c: np.ndarray, n_lists: int):
@@ -156,7 +156,8 @@ def top_k(
         return asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>"))).join(dealt, "g")
 
     def read(r):
-        return np.frombuffer(r.q_ids, "<i8"), _wide(r.q_rows, r.q_width), np.frombuffer(r.ids, "<i8"), _wide(r.rows, r.width)
+        q_ids, ids = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.ids, "<i8")
+        return q_ids, _wide(r.q_rows, len(q_ids), r.q_width), ids, _wide(r.rows, len(ids), r.width)
 
     def first(frames):
         for frame in frames:
