@@ -66,7 +66,7 @@ def permute(x: int, n: int, seed: int) -> int:
         left, right = divmod(x, side)
         for k in round_keys(seed):
             u = (right + k) % PRIME
-            left, right = right, (left + (u * u % PRIME + k) % PRIME * u) % side
+            left, right = right, (left + (u * u % PRIME + k) % PRIME * u % PRIME) % side
         x = left * side + right
         if x < n:
             return x

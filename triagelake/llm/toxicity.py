@@ -45,7 +45,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu toi te ton ta vous vo
 WORDS = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 PUNCTUATION = b"!?*#$%&@~^|<>"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
-MIXED = re.compile(rb"[A-Za-z][A-Za-z]*(?:[0-9@$*!.\-_]+[A-Za-z]+)+")
+MIXED = re.compile(rb"(?:[0-9@$!]+[A-Za-z]+|[A-Za-z]+)(?:[0-9@$*!.\-_]+[A-Za-z]+)+")
 PLAIN_FOR = bytes.maketrans(b"013457@$!", b"oieastasi")
 FEATURES = [
     "insults", "any_insult", "threats", "stems", "any_stem", "near_person", "person", "capitals", "punctuation", "obfuscated", "hidden", "log_words",
@@ -100,7 +100,7 @@ def _base(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
 
-def learn_stems(sample: DataFrame, max_stems: int = 400, least: int = 8) -> frozenset:
+def learn_stems(sample: DataFrame, max_stems: int = 400, least: int = 4) -> frozenset:
     """First letters of words that at least ``least`` toxic texts have and that
     are ten times as frequent in these as in the others; sample: text, y."""
 
