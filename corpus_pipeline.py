@@ -43,8 +43,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays."""
-    groups = jaccard.jaccard_join(docs)
+    """Of each group of documents with 80 % of their five-word shingles in common
+    the one with the smallest id stays."""
+    groups = jaccard.jaccard_join(docs, n=5, percent=80)
     others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 

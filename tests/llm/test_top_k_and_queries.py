@@ -10,7 +10,10 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from triagelake.llm import queries, topk
+from test_text_operators import brute_components, brute_dedup, plain_chunks
+from test_tokens import check_packing
+from triagelake.llm import quality, queries, topk, toxicity
+from triagelake.llm.common import stage_table
 
 ROOT = Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.001"
@@ -47,18 +50,44 @@ def test_queries_equal_sql(spark):
 
 
 def test_pipeline(spark):
+    """Each stage's ids and texts against plain loops over its own input (the
+    toxicity stage against the scores of its model)."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names, at = [n for n, _ in corpus_pipeline.STAGES], docs
-    assert names == ["quality", "toxicity", "line_dedup", "near_duplicates", "packing"]
-    ids = {r.doc_id for r in docs.collect()}
-    for n, stage in corpus_pipeline.STAGES[:4]:
-        after = stage(spark, at, SF)
-        assert after.columns == docs.columns and after.dtypes == docs.dtypes
-        now = {r.doc_id for r in after.collect()}
-        assert now <= ids
-        ids, at = now, after.cache()
-    packed = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in packed} == ids
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "line_dedup", "near_duplicates", "packing"]
+    at, stages = docs, dict(corpus_pipeline.STAGES)
+
+    def step(name):
+        out = stages[name](spark, at, SF)
+        assert out.dtypes == docs.dtypes
+        return stage_table(spark, out, "stage")
+
+    crf = quality.train(docs, labels)
+    want = {r.doc_id for r in docs.collect() if quality.verdict(crf, r.text, 0.5)[6]}
+    at = step("quality")
+    assert {r.doc_id for r in at.collect()} == want
+
+    scores = toxicity.score_documents(at, labels).collect()
+    at = step("toxicity")
+    assert {r.doc_id for r in at.collect()} == {r.doc_id for r in scores if r.predicted == 0}
+
+    before = {r.doc_id: r.text for r in at.collect()}
+    brute = dict(brute_dedup(plain_chunks(spark, at)))
+    at = step("line_dedup")
+    rows = at.collect()
+    assert {r.doc_id: r.text for r in rows} == {i: t for i, t in brute.items() if t == before[i] or t.strip(" ")}
+    assert all(r.n_chars == len(r.text) for r in rows)
+
+    groups = {d: c for d, _, c in brute_components(at, 5, 80)}
+    at = step("near_duplicates")
+    assert {r.doc_id for r in at.collect()} == {d for d, c in groups.items() if d == c}
+
+    packed = stages["packing"](spark, at, SF).collect()
+    check_packing(at, packed, 1024)
+    run = corpus_pipeline.run(spark, SF).collect()
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
+    assert {(r.doc_id, r.doc_tokens) for r in run} == {(r.doc_id, r.doc_tokens) for r in packed} and sum(r.length for r in run) == sum(r.length for r in packed)
+    assert len({key(r) for r in run}) == len(run)
 
 
 def test_the_rest_works_without_this_subpackage(tmp_path):
