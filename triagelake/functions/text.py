@@ -40,13 +40,12 @@ def ordered_distinct(items: Column) -> Column:
 
 def trigram_terms(query: Column) -> Column:
     """Distinct search terms: white-space tokens of three characters or more, then
-    three-character windows at every second place."""
-    clean = F.replace(query, F.lit('"'), F.lit(" "))
-    tokens = F.filter(F.split(strip(clean), rf"{SPACE}+"), lambda t: F.length(t) >= 3)
-    joined = squeeze(clean)
+    the three-character windows at every second place of the stripped query."""
+    clean = strip(F.replace(query, F.lit('"'), F.lit(" ")))
+    tokens = F.filter(F.split(clean, rf"{SPACE}+"), lambda t: F.length(t) >= 3)
     grams = F.when(
-        F.length(joined) >= 3,
-        F.transform(F.sequence(F.lit(1), F.length(joined) - 2, F.lit(2)), lambda i: F.substr(joined, i, F.lit(3))),
+        F.length(clean) >= 3,
+        F.transform(F.sequence(F.lit(1), F.length(clean) - 2, F.lit(2)), lambda i: F.substr(clean, i, F.lit(3))),
     ).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(tokens, grams))
 

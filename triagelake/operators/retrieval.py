@@ -53,9 +53,22 @@ def postings(corpus: DataFrame, text: str = "content") -> tuple[DataFrame, DataF
     )
 
 
+def term_hits(corpus: DataFrame, terms: DataFrame, text: str = "content") -> DataFrame:
+    """(cid, term, tf): how often each lower-case term of three characters or more
+    occurs in each text, as a phrase of trigrams and so anywhere in a word.  A place
+    of a text meets the terms that begin with its trigram."""
+    known = terms.select("term").distinct().withColumn("head", F.left("term", F.lit(3)))
+    longest = known.agg(F.max(F.length("term"))).first()[0] or 3
+    held = corpus.select("cid", F.inline(F.array(F.struct(F.lower(F.col(text)).alias("low"))))).filter(F.length("low") >= 3)
+    windows = F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substr(F.col("low"), i, F.lit(longest)))
+    places = held.select("cid", F.explode(windows).alias("w")).withColumn("head", F.left("w", F.lit(3)))
+    met = places.join(known, "head").filter(F.col("w").startswith(F.col("term")))
+    return met.groupBy("cid", "term").agg(F.count("*").alias("tf"))
+
+
 def bm25_top_k(query_terms: DataFrame, tf: DataFrame, dl: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_terms: (query_id, term), distinct.  query_id, cid, score, rank.  The
-    corpus statistics are one row, and document frequencies are taken for the
+    """query_terms: (query_id, term), distinct; tf: of ``term_hits`` or ``postings``.
+    query_id, cid, score, rank.  The corpus statistics are one row, and document frequencies are taken for the
     queries' terms alone."""
     stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = tf.join(query_terms.select("term").distinct(), "term")

@@ -21,14 +21,20 @@ GRAMS = f"""{CHARS}, g AS (
     ), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL),
     dl AS (SELECT doc_id, greatest(len(a) - 2, 0) AS dl FROM h)"""
 TERMS = """t0 AS (
-        SELECT item_id, replace(text, '"', ' ') AS c FROM benchmark
+        SELECT item_id, regexp_replace(replace(text, '"', ' '), '^\\s+|\\s+$', '', 'g') AS c FROM benchmark
     ), t1 AS (
         SELECT item_id, unnest(list_filter(string_split_regex(c, '\\s+'), lambda x: length(x) >= 3)) AS term FROM t0
         UNION ALL
-        SELECT item_id, substr(regexp_replace(c, '\\s+', '', 'g'), i, 3) AS term
-        FROM t0, range(1, 100000, 2) r(i) WHERE i <= length(regexp_replace(c, '\\s+', '', 'g')) - 2
+        SELECT item_id, substr(c, i, 3) AS term FROM t0, range(1, 100000, 2) r(i) WHERE i <= length(c) - 2
     ), terms AS (SELECT DISTINCT item_id, lower(term) AS term FROM t1)"""
-BM25 = f"""{GRAMS}, {TERMS},
+WINDOW = "concat(c, " + ", ".join(f"lead(c, {k}) OVER p" for k in range(1, 32)) + ")"
+BM25 = f"""{CHARS}, {TERMS},
+    dl AS (SELECT doc_id, greatest(len(a) - 2, 0) AS dl FROM h),
+    ch AS (SELECT doc_id, unnest(a) AS c, generate_subscripts(a, 1) AS i FROM h),
+    w AS (SELECT doc_id, {WINDOW} AS w FROM ch WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+    tf AS (
+        SELECT doc_id, term, count(*) AS tf FROM w JOIN (SELECT DISTINCT term FROM terms) t ON left(w.w, 3) = left(t.term, 3) AND starts_with(w.w, t.term) GROUP BY ALL
+    ),
     n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     s AS (
@@ -87,9 +93,10 @@ def corpus_stats(spark, d):
 
 def lexical(spark, d, k):
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("content"))
-    tf, dl = retrieval.postings(corpus)
     terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(trigram_terms(F.col("text"))).alias("term"))
-    return retrieval.bm25_top_k(terms.withColumn("term", F.lower("term")).distinct(), tf, dl, k)
+    terms = terms.withColumn("term", F.lower("term")).distinct()
+    _, dl = retrieval.postings(corpus)
+    return retrieval.bm25_top_k(terms, retrieval.term_hits(corpus, terms), dl, k)
 
 
 @query(f"WITH {BM25} SELECT item_id AS query_id, doc_id AS cid, score, rank FROM lex WHERE rank <= 10")
