@@ -14,13 +14,16 @@ content is the XOR of its tokens' hashes; blocks are joined by content:
 
 * empty blocks say nothing and are left out, unless a set has so many of them
   that it may agree with a partner in these alone;
-* a set with fewer shared blocks than a partner needs has none and goes;
-* within a block, each set is paired with the one of smallest id; pairs are
-  verified (sizes, Hamming distance of 512-bit parity sketches, then the exact
-  intersection), and verified links make components;
-* where a block still holds two components or more, all its pairs across
-  components are verified too.  No link between components is lost, and a group
-  of near copies needs no pairs within it.
+* a set with fewer shared blocks than a partner needs has none and goes; of the
+  others the blocks count that are rarest in the corpus, all but as many of the
+  most frequent as a partner needs less one (frequent passages join nothing);
+* within a block, each set is paired with the central one, whose blocks most other
+  sets share; pairs are verified (sizes, Hamming distance of 512-bit parity
+  sketches, then the exact intersection), and verified links make components;
+* where a block still holds two components or more, its next central set has a
+  round, and after that its pairs across components are held against sizes and
+  sketches within the join, and those that pass are verified.  No link between
+  components is lost, and a group of near copies needs no pairs within it.
 
 Equal texts met by one task send one set only and links for the others, so a
 group of copies is combined before the shuffle.
@@ -93,7 +96,7 @@ def differences(smaller: int, percent: int) -> int:
 
 
 def block_keys(tokens: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """(band, shared blocks that a partner needs, keys of the blocks) for each
+    """(band, shared keys that a partner needs, keys of the blocks) for each
     band that the set takes part in."""
     size, out = len(tokens), []
     place, content = mix(tokens, 11) >> np.uint64(32), mix(tokens, 12)
@@ -107,12 +110,13 @@ def block_keys(tokens: np.ndarray, percent: int) -> list[tuple[int, int, np.ndar
         ordered = block[order]
         first = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1])
         number, value = ordered[first], np.bitwise_xor.reduceat(content[order], first)
-        need = k - differences(min(size, hi), percent)
-        if k - len(number) >= need:
+        need, blank = k - differences(min(size, hi), percent), k - len(number)
+        if blank >= need:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), number)
             number, value = np.concatenate([number, empty]), np.concatenate([value, np.zeros(len(empty), np.uint64)])
         keys = mix(value ^ mix(number + np.uint64(g << 40), 13), 14)
-        out.append((g, need, keys.view(np.int64)))
+        # a partner may agree in empty blocks, too, which are not among the keys
+        out.append((g, max(1, need - blank), keys.view(np.int64)))
     return out
 
 
@@ -156,7 +160,7 @@ def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_i
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and links (a, b) that join each pair of
     similar documents, directly or over others."""
     spark = df.sparkSession
@@ -190,10 +194,14 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
 
     blocks = made.filter("band is not null").select("doc_id", "band", "need", F.explode("keys").alias("k"))
     by_key = Window.partitionBy("k")
-    shared = blocks.withColumn("m", F.count("*").over(by_key)).filter("m > 1").drop("m")
+    shared = blocks.withColumn("m", F.count("*").over(by_key)).filter("m > 1")
     by_set = Window.partitionBy("doc_id", "band")
-    enough = shared.withColumn("m", F.count("*").over(by_set)).filter(F.col("m") >= F.col("need")).select("doc_id", "k")
-    buckets = stage_table(spark, enough, "blocks")
+    weighed = shared.withColumns({
+        "n": F.count("*").over(by_set), "w": F.sum("m").over(by_set), "rarer": F.row_number().over(by_set.orderBy("m", "k")),
+    })
+    # partners agree in `need` blocks or more, so among all but the need - 1 most frequent, too
+    rare = weighed.filter("rarer <= n - need + 1").withColumn("m", F.count("*").over(by_key)).filter("m > 1")
+    buckets = stage_table(spark, rare.select("doc_id", "k", "w"), "blocks")
 
     wanted = buckets.select("doc_id").distinct()
     tokens = map_texts(
@@ -203,19 +211,33 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
     )
     tokens = stage_table(spark, tokens, "tokens")
 
-    least = buckets.groupBy("k").agg(F.min("doc_id").alias("b"))
-    stars = buckets.join(least, "k").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    links = stage_table(spark, verify(stars, tokens, percent).unionByName(equal), "links")
+    # In each round a block's central set (the one whose blocks most others share)
+    # meets all others of the block that are not in its component yet.
+    links, open_ = stage_table(spark, equal, "links"), buckets
+    for _ in range(max(1, rounds)):
+        head = open_.groupBy("k").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("id"))).alias("h")).select("k", (-F.col("h.id")).alias("b"))
+        met = open_.join(head, "k").filter("doc_id <> b").select("doc_id", "k", "w", "b")
+        stars = met.select(F.col("doc_id").alias("a"), "b").distinct()
+        links = stage_table(spark, links.unionByName(verify(stars, tokens, percent)), "links")
+        open_ = stage_table(spark, several_components(met.select("doc_id", "k", "w"), links), "open")
+    # what is left: the pairs of a block across components that sizes and sketches allow
+    rest = open_.drop("w")
+    rest = rest.join(tokens.select("doc_id", F.size("s").alias("size"), *[F.get("p", i).alias(f"p{i}") for i in range(8)]), "doc_id")
+    a, b = (rest.select("k", *[F.col(c).alias(f"{c}_{x}") for c in rest.columns if c != "k"]) for x in ("a", "b"))
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    apart = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(1, 8)), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
+    may = (F.col("c_a") != F.col("c_b")) & (F.col("doc_id_a") > F.col("doc_id_b")) & (100 * small >= percent * large) & (apart * percent <= (100 - percent) * small)
+    across = a.alias("a").join(b.alias("b"), (F.col("a.k") == F.col("b.k")) & may)
+    across = across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    return sets, stage_table(spark, links.unionByName(verify(across, tokens, percent)), "links")
 
-    # what the stars left open: blocks that hold more than one component
-    found = components(links)
-    placed = buckets.join(found, F.col("doc_id") == F.col("node"), "left").select("k", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+
+def several_components(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """``blocks`` and the component c of each set, where a block holds more than one."""
+    placed = blocks.join(components(links), F.col("doc_id") == F.col("node"), "left")
+    placed = placed.select(*blocks.columns, F.coalesce("component", "doc_id").alias("c"))
     ends = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k")
-    open_ = stage_table(spark, placed.join(ends, "k"), "open")
-    a, b = (open_.select("k", F.col("doc_id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("a", "b"))
-    across = a.join(b, "k").filter("c_a <> c_b and a > b").select("a", "b").distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    return sets, stage_table(spark, links.unionByName(verify(across, tokens, percent)), "links")
+    return placed.join(ends, "k", "left_semi")
 
 
 def verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
