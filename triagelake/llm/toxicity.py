@@ -4,7 +4,7 @@ Features of a whole text: densities of insults, threats and learned stems;
 nearness of second-person words to them; shares of capitals, punctuation and
 obfuscated words (digits or symbols between letters, which are undone before the
 lexicons are asked).  The learned stems are first letters of words that toxic
-training texts have far more often than the others; at most ``max_stems``.
+training texts have significantly more often than the others; at most ``max_stems``.
 
 Everything is fitted on at most ``max_train_docs`` labelled documents, chosen by
 a hash of their ids: the stems and trees on four fifths of them, the isotonic
@@ -100,9 +100,10 @@ def _base(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
 
-def learn_stems(sample: DataFrame, max_stems: int = 400, least: int = 4) -> frozenset:
-    """First letters of words that at least ``least`` toxic texts have and that
-    are ten times as frequent in these as in the others; sample: text, y."""
+def learn_stems(sample: DataFrame, max_stems: int = 400, least: int = 4, evidence: float = 12.0) -> frozenset:
+    """First letters of words that at least ``least`` toxic texts have, that are
+    three times as frequent in these as in the others, and whose log-likelihood
+    ratio is ``evidence`` or more; sample: text, y."""
 
     def count(texts: list) -> tuple[list, list]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -115,8 +116,10 @@ def learn_stems(sample: DataFrame, max_stems: int = 400, least: int = 4) -> froz
     counted = map_texts(rows, ["one"], count, "stem string, y int, n long", rows=2000)
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
     both = counted.groupBy("stem").agg(*[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
-    ratio = (F.col("n1") / totals.get(1, 1)) / ((F.col("n0") + 0.5) / max(1, totals.get(0, 1)))
-    best = both.filter((F.col("n1") >= least) & (ratio >= 10)).orderBy(F.desc("n1"), "stem").limit(max_stems)
+    usual = (F.col("n0") + 0.5) * totals.get(1, 1) / max(1, totals.get(0, 1))  # texts to expect
+    gain = F.col("n1") * F.log(F.col("n1") / usual) - (F.col("n1") - usual)
+    best = both.filter((F.col("n1") >= least) & (F.col("n1") >= 3 * usual)).withColumn("gain", gain).filter(F.col("gain") >= evidence)
+    best = best.orderBy(F.desc("gain"), "stem").limit(max_stems)
     return frozenset(r["stem"].encode() for r in best.collect())  # max_stems rows at most
 
 
