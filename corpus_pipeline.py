@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm import jaccard, linededup, packing, quality, toxicity
-from triagelake.llm.common import fresh_path
+from triagelake.llm.common import fresh_path, stage_table
 from triagelake.llm.tokens import vocabulary
 
 
@@ -43,11 +43,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with 80 % of their five-word shingles in common
-    the one with the smallest id stays."""
-    groups = jaccard.jaccard_join(docs, n=5, percent=80)
-    others = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of rows with 80 % of their five-word shingles in common the one
+    with the smallest (doc_id, row) stays, nulls last; ids may be repeated or null."""
+    rows = stage_table(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.jaccard_join(rows, n=5, percent=80, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    placed = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("at")).join(groups, "_row")
+    kept = placed.groupBy("component_id").agg(F.min("at").alias("at")).select("at._row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Repeated runs of lines against plain loops over all runs, and rows of one id or of none."""
 
+import collections
 import random
 import re
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from triagelake.llm import linededup
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +80,13 @@ def test_each_line_that_goes_has_one_that_stays(spark):
     assert {x for r in docs.collect() for x in r.text.split("\n")} - left <= {""}
     assert linededup.dedup_passages(docs.limit(0)).count() == 0
     assert linededup.dedup_passages(spark.createDataFrame([(1, None), (None, None)], SCHEMA)).filter(F.col("text").isNull() & (F.col("n_removed") == 0)).count() == 2
+
+
+def test_near_duplicates_of_one_id_or_none(spark):
+    """One row of each group stays, though rows share an id or have none."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(7, a), (7, a), (7, a + " z"), (7, b), (3, b), (None, c), (None, c), (None, c + " z"), (None, a), (None, d), (9, d), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    alike = collections.Counter((r.doc_id, (r.text or "")[:1]) for r in got)
+    assert alike == {(7, "a"): 1, (3, "b"): 1, (None, "c"): 1, (9, "d"): 1, (None, ""): 2}
