@@ -90,3 +90,13 @@ def test_near_duplicates_of_one_id_or_none(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     alike = collections.Counter((r.doc_id, (r.text or "")[:1]) for r in got)
     assert alike == {(7, "a"): 1, (3, "b"): 1, (None, "c"): 1, (9, "d"): 1, (None, ""): 2}
+
+
+def test_passages_of_one_id_or_none(spark):
+    """A passage that only rows of one id share, or rows without an id, stays in one of them."""
+    long, hot = (" ".join(f"{x}{i}" for i in range(60)) for x in "nh")
+    rows = [(None, f"own {i}\n{long}\nend {i}") for i in range(6)] + [(5, f"my {i}\n{hot}\nend {i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = [r.text for r in linededup.dedup_lines(docs).collect()]
+    assert sum(long in t for t in got) == sum(hot in t for t in got) == 1
+    assert len(got) == 12 and sum(t.startswith(("own ", "my ")) for t in got) == 12
