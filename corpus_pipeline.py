@@ -22,38 +22,47 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are mostly boilerplate go."""
+    """Documents that fail the base rules or are mostly boilerplate go: those without
+    50 words (null and empty texts, too) among them.  Each row is judged by its own
+    text, repeated rows alike.  An empty table stays empty."""
     return quality.keep_good(docs, quality.train(docs, _labels(spark, sf_dir)))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go.  Each row is scored by its own text, a null text
+    as an empty one, repeated rows alike.  An empty table stays empty."""
     return toxicity.drop_toxic(docs, _labels(spark, sf_dir))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go from the text; documents that had
-    nothing else go, too."""
-    cleaned = linededup.dedup_lines(docs)
-    left = cleaned.filter((F.col("n_removed") == 0) | (F.length(F.trim(F.col("text"))) > 0))
+    """Passages that an earlier document has go from the text (ties of ids: the row
+    staged first keeps them, null ids last); documents that had nothing else go, too,
+    so of repeated rows one is left.  Null and empty texts stay.  n_chars follows the
+    text.  An empty table stays empty."""
+    left = linededup.keep_first(docs)
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        left = left.withColumn("n_chars", F.length("text").cast(kind))
-    return left.select(docs.columns)
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of rows with 80 % of their five-word shingles in common the one
-    with the smallest (doc_id, row) stays, nulls last; ids may be repeated or null."""
-    rows = stage_table(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard.jaccard_join(rows, n=5, percent=80, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    placed = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("at")).join(groups, "_row")
-    kept = placed.groupBy("component_id").agg(F.min("at").alias("at")).select("at._row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    with the smallest (doc_id, row) stays, nulls last; ids may be repeated or null.
+    Null texts and texts without words are in no group and stay.  An empty table
+    stays empty."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = stage_table(spark, packed, "rows")
+    doc_id = F.col("doc").getField("doc_id")
+    texts = rows.select("row", F.col("doc").getField("text").alias("text"))
+    groups = jaccard.jaccard_join(texts, n=5, percent=80, key="row").select(F.col("doc_id").alias("row"), "component_id")
+    placed = rows.select("row", F.struct(doc_id.isNull(), doc_id, "row").alias("at")).join(groups, "row")
+    kept = placed.groupBy("component_id").agg(F.min("at").alias("at")).select("at.row")
+    return rows.join(kept, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens.  A null or empty text is its end id alone;
+    repeated rows are packed each on its own.  An empty table gives no pieces."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 

@@ -2,53 +2,27 @@
 
 import collections
 import random
-import re
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from plain_passages import clean
 from triagelake.llm import linededup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
 
 
-def words(line):
-    return len(re.findall(r"[^ \t\n\x0b\f\r]+", line))
-
-
-def repeated_lines(texts, least=50):
-    """(text, line) of the lines in a run of ``least`` words or more that stands at an earlier
-    place, too; a place that overlaps the first is none.  By all runs of any length."""
-    first, gone = {}, set()
-    for d, text in enumerate(texts):
-        at = [i for i, x in enumerate(text.split("\n")) if words(x)]
-        lines = [text.split("\n")[i] for i in at]
-        for a in range(len(lines)):
-            n = 0
-            for b in range(a, len(lines)):
-                n += words(lines[b])
-                if n >= least:
-                    was, _, end = first.setdefault("\n".join(lines[a : b + 1]), (d, a, b))
-                    if was != d or a > end:
-                        gone |= {(d, i) for i in range(at[a], [*at, len(text.split("\n"))][b + 1])}
-    return gone
-
-
 def check(spark, texts):
+    """The texts as plain loops over all chunks and all runs leave them."""
     made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    want = dict(clean(list(enumerate(texts)), runs=True))
     got = {r.doc_id: r for r in linededup.dedup_passages(made).collect()}
-    chunks = {r.doc_id: r for r in linededup.dedup_lines(made).collect()}
-    gone = repeated_lines(texts)
     for d, text in enumerate(texts):
-        lines = text.split("\n")
-        runs = [x for i, x in enumerate(lines) if (d, i) not in gone]
-        left = got[d].text.split("\n") if got[d].n_removed < len(lines) else []
-        assert got[d].n_lines == len(lines) and got[d].n_removed == len(lines) - len(left)
-        assert got[d].n_removed >= max(len(lines) - len(runs), chunks[d].n_removed)
-        if chunks[d].n_removed == 0:
-            assert got[d].text == "\n".join(runs), d
+        assert got[d].text == want[d], d
+        left = len(want[d].split("\n")) if got[d].n_removed < got[d].n_lines else 0
+        assert got[d].n_lines == len(text.split("\n")) and got[d].n_removed == got[d].n_lines - left
     return {d: r.text for d, r in got.items()}
 
 
@@ -100,3 +74,35 @@ def test_passages_of_one_id_or_none(spark):
     got = [r.text for r in linededup.dedup_lines(docs).collect()]
     assert sum(long in t for t in got) == sum(hot in t for t in got) == 1
     assert len(got) == 12 and sum(t.startswith(("own ", "my ")) for t in got) == 12
+
+
+CLASHES = ["id", "_id", "row", "_row", "h", "s", "e", "_lines", "_ends", "_gone", "_kept", "_text", "at", "after", "x", "p", "features", "prediction",
+           "probability", "rawPrediction", "n_shingles", "component_id", "k", "band", "node", "doc", "size", "score", "kept", "N_LINES", "n_removed"]
+
+
+def stage_input(spark, rows):
+    """documents with columns of every name that the stages use themselves."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+
+
+def test_stages_with_nulls_ties_and_clashing_names(spark):
+    """Rows keep their other columns; null, empty, blank and repeated rows have the result stated."""
+    word = lambda *at: "".join(chr(97 + int(c)) for c in "".join(map(str, at)))
+    text = lambda x, n=70: "\n".join(" ".join(x + word(i, j) for j in range(7)) + "." for i in range(n // 7))
+    rows = [(1, text("a"), 5), (1, text("a"), 6), (None, text("b"), 7), (None, text("b"), 8), (2, text("c") + "\n \n\n", 9), (3, text("c"), 1),
+            (4, None, None), (None, None, None), (5, "", 0), (6, " \n\t\n", 3), (7, text("d", 40000), 2)]
+    docs, empty = stage_input(spark, rows), stage_input(spark, [])
+    left = {
+        "quality": [1, 1, 2, 3, 7, None, None], "toxicity": [1, 1, 2, 3, 4, 5, 6, 7, None, None, None],
+        "line_dedup": [1, 2, 4, 5, 6, 7, None, None], "near_duplicates": [1, 2, 4, 5, 6, 7, None, None],
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = out.collect()
+        assert sorted((r.doc_id for r in got), key=lambda x: (x is None, x)) == left[name], name
+        assert all(r[c] == f"own {c}" for r in got for c in CLASHES)
+        assert stage(spark, empty, SF).count() == 0
+    packed = corpus_pipeline.pack_sequences(spark, docs, SF)
+    assert packed.filter("start = 0").count() == len(rows) and corpus_pipeline.pack_sequences(spark, empty, SF).count() == 0

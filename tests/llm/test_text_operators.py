@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plain_passages import clean
 from triagelake.llm import jaccard, linededup, quality, shards, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
@@ -43,32 +44,13 @@ def test_shards(spark, odd_docs):
 
 # ---- line dedup --------------------------------------------------------------
 
-def plain_chunks(spark, docs):
-    """(id, [(lines, may go)]) by the operator's own borders, read back as Python."""
-    got = linededup.with_chunks(docs, "doc_id", "text", 3, 50)
-    return [(r._id, r.text, list(r._bodies), [c.ok for c in r._chunks]) for r in got.collect()]
-
-
-def brute_dedup(rows):
-    first, count = {}, collections.Counter()
-    for doc_id, _, bodies, ok in rows:
-        for j, (b, o) in enumerate(zip(bodies, ok)):
-            if o:
-                count[b] += 1
-                first[b] = min(first.get(b, (doc_id, j)), (doc_id, j))
-    out = []
-    for doc_id, text, bodies, ok in rows:
-        kept = [b for j, (b, o) in enumerate(zip(bodies, ok)) if not (o and count[b] > 1 and first[b] != (doc_id, j))]
-        out.append((doc_id, None if text is None else "\n".join(kept)))
-    return sorted(out, key=repr)
-
-
 def test_line_dedup(spark, odd_docs):
     for docs in (odd_docs, spark.read.parquet(f"{SF}/documents.parquet")):
         got = linededup.dedup_lines(docs)
         assert set(docs.columns) | {"n_lines", "n_removed"} == set(got.columns)
         rows = sorted(((linededup.LAST_ID if r.doc_id is None else r.doc_id, r.text) for r in got.collect()), key=repr)
-        assert rows == brute_dedup(plain_chunks(spark, docs))
+        plain = sorted(((linededup.LAST_ID if r.doc_id is None else r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
+        assert rows == sorted(clean(plain, runs=False), key=repr)
     assert linededup.dedup_lines(odd_docs.limit(0)).count() == 0
 
 
@@ -121,6 +103,27 @@ def test_jaccard_join(spark, odd_docs):
     assert jaccard.jaccard_join(odd_docs.limit(0)).count() == 0
 
 
+def test_jaccard_with_frequent_keys_and_parted_blocks(spark, monkeypatch):
+    """A passage that all texts share, and blocks that keep many components: frequent keys
+    and parts of blocks lose no link."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+    monkeypatch.setattr(jaccard, "FREQUENT", 10**9)
+    rnd = random.Random(12)
+    head = " ".join(f"h{i}" for i in range(40))
+    rows = []
+    for i in range(120):
+        own = " ".join(f"o{i // 3}x{j}" for j in range(rnd.choice([2, 4, 30])))
+        rows.append((i, f"{head} {own}" if i % 4 else own))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = spark.createDataFrame([(i, [7, i], 2) for i in range(100)], "doc_id long, keys array<bigint>, n_keys long")
+    assert [r.k for r in jaccard.frequent_keys(made).collect()] == [7]
+    want = brute_components(docs, 4, 85)
+    for rounds, part_sets in ((1, 7),):
+        sets, links = jaccard.jaccard_links(docs, 4, 85, rounds=rounds, part_sets=part_sets)
+        found = dict(jaccard.components(links).collect())
+        assert sorted(((r.doc_id, r.n_shingles, found.get(r.doc_id, r.doc_id)) for r in sets.collect()), key=repr) == want
+
+
 def test_blocks_keep_every_similar_pair():
     rng = np.random.default_rng(3)
     for _ in range(300):

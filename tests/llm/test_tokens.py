@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from triagelake.llm import bpe, idfiles, packing
@@ -33,12 +34,32 @@ def test_encoder_equals_library(path):
         assert bpe.decode(enc, enc.encode(t)) == tok.decode(ids, skip_special_tokens=False)
 
 
-def test_tree_equals_library_at_any_leaf_size():
-    enc, tok = encoder(WORD), Tokenizer.from_file(WORD)
-    for t in texts(400, 4):
+#: White space of each table beside symbols, contractions and letters.
+BORDERS = ["!", "x", "'", "s", "t", "1", "é", "日", " ", "\n", "\t", "\x0b", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "ß", "-", "\u0301"]
+
+
+def border_texts(n, seed):
+    rnd = random.Random(seed)
+    for _ in range(n):
+        few = rnd.sample(BORDERS, rnd.randint(2, 6))
+        yield "".join(rnd.choice(few) * rnd.choice([1, 1, 1, 2, 9]) for _ in range(rnd.randint(1, 40)))
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_tree_equals_library_at_any_leaf_size(path):
+    enc, tok = encoder(path), Tokenizer.from_file(path)
+    for t in [*texts(400, 4), *border_texts(3000, 9)]:
         want = tok.encode(t, add_special_tokens=False).ids
         for most in (3, 7, 16, 40):
-            assert bpe.encode_by_tree(enc, t, most).tolist() == want
+            assert bpe.encode_by_tree(enc, t, most).tolist() == want, (t, most)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_tree_equals_library_on_long_texts(path):
+    enc, tok = encoder(path), Tokenizer.from_file(path)
+    long = ["!\x1c!" * 6000, "it's\x1f" * 5000, "a\u3000\u3000" * 9000, "\u3000" * 20000 + "x" * 20000 + "\xa0\xa0" + "y" * 17000, "é\x85 's\n" * 6000, "x" * 40000 + " !" * 9000]
+    for t in [*long, *("".join(border_texts(700, k)) for k in range(6))]:
+        assert len(t) > 16384 and bpe.encode_by_tree(enc, t, 16384).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_encoding_digests(spark, odd_docs):
@@ -70,10 +91,54 @@ def test_id_files_round_trip(spark, odd_docs):
         want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
-    keys = spark.createDataFrame([(6,), (2,), (12345,), (2**60 + 1,)], "doc_id long")
+    keys = spark.createDataFrame([(6,), (2,), (12345,), (2**60 + 1,), (None,)], "doc_id long")
     found = [(r.doc_id, bytes(r.ids)) for r in idfiles.lookup(spark, folder, keys).collect()]
-    assert sorted(d for d, _ in found) == [2, 2, 6, 2**60 + 1]
+    assert sorted((d for d, _ in found), key=lambda d: (d is None, d)) == [2, 2, 6, 2**60 + 1, None]
     assert dict(found)[6] == np.array(dict(library_ids(odd_docs, 2))[6], "<u4").tobytes()
+    assert "Join" not in idfiles.lookup(spark, folder, keys)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_several_shards(spark):
+    """Rows of one id, or of none, fill several shards and are found with their numbers."""
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(10)] + [(None, f"none {i}") for i in range(9)] + [(8, "x")], "doc_id long, text string").repartition(4)
+    folder = fresh_path(spark, "test-ids")
+    idfiles.write_ids(docs, folder, BYTE, end_id=2, shard_docs=3)
+    got = idfiles.lookup(spark, folder, spark.createDataFrame([(7,), (None,), (8,)], "doc_id long")).collect()
+    assert sorted(r.nth for r in got if r.doc_id == 7) == list(range(10)) and sorted(r.nth for r in got if r.doc_id is None) == list(range(9))
+    want = sorted(np.array(x, "<u4").tobytes() for _, x in library_ids(docs, 2))
+    assert sorted(bytes(r.ids) for r in got) == want
+
+
+def test_reading_back_is_dealt_over_tasks(spark):
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text")
+    folder = fresh_path(spark, "test-ids")
+    idfiles.write_ids(docs, folder, BYTE, shard_docs=2)
+    got = idfiles.read_digests(spark, folder)
+    assert got.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+    assert got.count() == 40
+
+
+def test_a_key_costs_the_same_reads_in_any_shard(spark):
+    """A document is found by reads whose bytes do not grow with the shard."""
+    read = {}
+    for n in (20, 5000):
+        folder = fresh_path(spark, "test-ids")
+        shards = idfiles.write_ids(spark.range(n).selectExpr("id as doc_id", "'x' as text").coalesce(1), folder, BYTE, shard_docs=10000).collect()
+        shard = max(shards, key=lambda r: r.n_docs)
+        reader = idfiles.ShardReader(folder, shard["name"])
+        seen, index = [], reader.index
+
+        class Counting:
+            def read_at(self, size, at):
+                seen.append(size)
+                return index.read_at(size, at)
+
+        reader.index = Counting()
+        for k in range(shard.first_id, shard.last_id + 1):
+            assert reader.get(k) is not None
+        assert max(seen) <= idfiles.BLOCK.itemsize and reader.get(10**9) is None
+        read[n] = sum(seen) / (shard.last_id - shard.first_id + 1)
+    assert read[5000] < 2 * read[20]
 
 
 def test_perfect_hash():

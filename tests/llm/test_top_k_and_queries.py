@@ -10,7 +10,8 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from test_text_operators import brute_components, brute_dedup, plain_chunks
+from plain_passages import clean
+from test_text_operators import brute_components
 from test_tokens import check_packing
 from triagelake.llm import quality, queries, topk, toxicity
 from triagelake.llm.common import stage_table
@@ -72,10 +73,10 @@ def test_pipeline(spark):
     assert {r.doc_id for r in at.collect()} == {r.doc_id for r in scores if r.predicted == 0}
 
     before = {r.doc_id: r.text for r in at.collect()}
-    brute = dict(brute_dedup(plain_chunks(spark, at)))
+    brute = dict(clean(sorted(before.items()), runs=True))
     at = step("line_dedup")
     rows = at.collect()
-    assert {r.doc_id: r.text for r in rows} == {i: t for i, t in brute.items() if t == before[i] or t.strip(" ")}
+    assert {r.doc_id: r.text for r in rows} == {i: t for i, t in brute.items() if t == before[i] or t.strip()}
     assert all(r.n_chars == len(r.text) for r in rows)
 
     groups = {d: c for d, _, c in brute_components(at, 5, 80)}

@@ -3,8 +3,10 @@
 A text longer than ``leaf_chars`` is cut into a tree of halves.  The leaves are
 rows of their own, dealt over the cluster and encoded in parallel; one task then
 joins the leaves of a text, pair by pair.  A cut falls on a border between two
-pieces of the pre-tokenizer if there is one, where concatenation is exact.  Only
-inside a piece that is itself longer than a leaf (long text without any break)
+pieces of the pre-tokenizer if there is one, where concatenation is exact: before
+ASCII white space that follows another character, or, in text without such places,
+where the pre-tokenizer itself ends a piece that is no white space (of white space
+it looks ahead whether more follows).  Only inside a piece that is itself longer than a leaf (long text without any break)
 does a cut divide what the merges may join; there the join re-encodes a window
 of the last k tokens on the left and the first k on the right, and doubles k
 until the window's outermost tokens equal those that both sides had.  A token
@@ -32,6 +34,8 @@ from triagelake.llm.common import map_texts
 from triagelake.llm.tokens import Encoder, encoder, to_alphabet
 
 ENCODED = "ids binary, n_tokens long, decoded string"
+#: Before white space by any table (Python's holds the library's) that is ASCII's, which both know.
+SAFE = re.compile(r"(?<=\S)(?=[\t-\r ])")
 
 
 # ---- cutting -----------------------------------------------------------------
@@ -62,31 +66,42 @@ def leaves(enc: Encoder, text: str, most: int) -> Iterator[tuple[str, str]]:
             continue
         if enc.tok.normalizer is not None:
             segment = enc.tok.normalizer.normalize_str(segment)
-        for run in re.split(rf"([^\s]{{{most + 1},}})", segment):
-            if len(run) <= most:
-                spans = [(run, False)] if run else []
-            elif re.search(r"\s", run):
-                spans = [(run, False)]
-            else:  # text without a space: are its pieces long, too?
-                spans, at = [], 0
-                for _, (a, b) in enc.tok.pre_tokenizer.pre_tokenize_str(run):
-                    if b - a > most:
-                        spans += [(run[at:a], False)] * (a > at) + [(run[a:b], True)]
-                        at = b
-                spans += [(run[at:], False)] * (at < len(run))
-            for span, whole in spans:
-                if whole:
-                    code, at = to_alphabet(span), 0
-                    for end in halves(0, len(code), most):
-                        yield "end" if end == len(code) else "part", code[at:end]
-                        at = end
-                else:
-                    borders = np.array([m.end() for m in re.finditer(r"\s+", span)] if re.search(r"\s", span)
-                                       else [b for _, (_, b) in enc.tok.pre_tokenizer.pre_tokenize_str(span)])
-                    at = 0
-                    for end in halves(0, len(span), most, borders):
-                        yield "text", span[at:end]
-                        at = end
+        yield from segment_leaves(enc, segment, most)
+
+
+def segment_leaves(enc: Encoder, segment: str, most: int) -> Iterator[tuple[str, str]]:
+    """The leaves of normalized text without special tokens."""
+    borders = np.array([m.start() for m in SAFE.finditer(segment)] if len(segment) > most else [], np.int64)
+    at = 0
+    for end in halves(0, len(segment), most, borders):
+        if end - at <= most:
+            if end > at:
+                yield "text", segment[at:end]
+        else:  # no safe place within
+            yield from piece_leaves(enc, segment[at:end], most)
+        at = end
+
+
+def piece_leaves(enc: Encoder, run: str, most: int) -> Iterator[tuple[str, str]]:
+    """The leaves of a run by the pre-tokenizer's pieces; those longer than ``most`` are
+    cut inside, and white space before one of these is given piece by piece."""
+    spans, at = [span for _, span in enc.tok.pre_tokenizer.pre_tokenize_str(run)], 0
+    for long_at, long_end in [*((a, b) for a, b in spans if b - a > most), (len(run), len(run))]:
+        ends = [e for _, e in spans if at < e <= long_at and not run[e - 1].isspace()]
+        stop = long_at if long_at == len(run) or not ends and long_at == at else max(ends, default=at)
+        if stop > at:
+            for end in halves(at, stop, most, np.array([e for e in ends if e < stop], np.int64)):
+                yield "text", run[at:end]
+                at = end
+        for a, b in spans:
+            if stop <= a and b <= long_at:
+                yield "end", to_alphabet(run[a:b])
+        if long_end > long_at:
+            code, done = to_alphabet(run[long_at:long_end]), 0
+            for end in halves(0, len(code), most):
+                yield "end" if end == len(code) else "part", code[done:end]
+                done = end
+        at = long_end
 
 
 # ---- encoding leaves and joining them ----------------------------------------

@@ -21,10 +21,18 @@ content is the XOR of its tokens' hashes; blocks are joined by content:
   sets share; pairs are verified (sizes, Hamming distance of 512-bit parity
   sketches, then the exact intersection), and verified links make components;
 * where a block still holds two components or more, its next central set has a
-  round, and after that its pairs across components are held against sizes and
-  sketches within the join, and those that pass are verified.  No link between
+  round; after ``rounds`` of these the block is dealt into parts of ``part_sets``
+  sets, parts meet parts, and pairs across components are held against sizes and
+  sketches within the join; those that pass are verified.  No link between
   components is lost, and a group of near copies needs no pairs within it.
 
+How often a key occurs is counted where its rows meet.  A key that a sample of the
+sets shows to have more than its share of a task's rows is frequent: it is given
+the sample's count and its rows stay dealt by a hash of the set (any order of the
+keys is right, if it is one for all sets).  A key is frequent at one part in
+``FREQUENT`` of all rows, so there are at most that many, and their table, which
+goes to all tasks, has at most as many rows.
+
 Equal texts met by one task send one set only and links for the others, so a
 group of copies is combined before the shuffle.
 
@@ -46,15 +54,18 @@ from triagelake.llm.common import map_texts, stage_table
 from triagelake.llm.idfiles import mix
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
+FREQUENT, SAMPLE = 20_000, 16
 
 
 # ---- sets and sketches -------------------------------------------------------
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -160,7 +171,7 @@ def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_i
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", rounds: int = 2, part_sets: int = 512) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and links (a, b) that join each pair of
     similar documents, directly or over others."""
     spark = df.sparkSession
@@ -179,11 +190,11 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
                 if link == doc_id:
                     link, made = None, block_keys(tokens, percent)
             index += [i] * max(1, len(made))
-            out += [(len(tokens), link, g, need, keys.tolist()) for g, need, keys in made] or [(len(tokens), link, None, None, [])]
+            out += [(len(tokens), link, g, need, keys.tolist(), len(keys)) for g, need, keys in made] or [(len(tokens), link, None, None, [], 0)]
         return index, out
 
     rows = base.select("doc_id", F.struct("doc_id", "text").alias("text"))
-    made = stage_table(spark, map_texts(rows, ["doc_id"], sketch, "n_shingles long, link long, band int, need int, keys array<bigint>"), "sketches")
+    made = stage_table(spark, map_texts(rows, ["doc_id"], sketch, "n_shingles long, link long, band int, need int, keys array<bigint>, n_keys long"), "sketches")
     # a row for each band: the first of a document stands for it
     first_band = "band is null or band = own"
     own = F.lit(0)
@@ -193,15 +204,15 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
     equal = made.filter("link is not null").select(F.col("doc_id").alias("a"), F.col("link").alias("b"))
 
     blocks = made.filter("band is not null").select("doc_id", "band", "need", F.explode("keys").alias("k"))
-    by_key = Window.partitionBy("k")
-    shared = blocks.withColumn("m", F.count("*").over(by_key)).filter("m > 1")
+    frequent = stage_table(spark, frequent_keys(made), "frequent")
+    shared = counted(blocks, frequent).filter("m > 1")
     by_set = Window.partitionBy("doc_id", "band")
     weighed = shared.withColumns({
         "n": F.count("*").over(by_set), "w": F.sum("m").over(by_set), "rarer": F.row_number().over(by_set.orderBy("m", "k")),
     })
     # partners agree in `need` blocks or more, so among all but the need - 1 most frequent, too
-    rare = weighed.filter("rarer <= n - need + 1").withColumn("m", F.count("*").over(by_key)).filter("m > 1")
-    buckets = stage_table(spark, rare.select("doc_id", "k", "w"), "blocks")
+    rare = weighed.filter("rarer <= n - need + 1").select("doc_id", "k", "w")
+    buckets = stage_table(spark, counted(rare, frequent).filter("m > 1").select("doc_id", "k", "w"), "blocks")
 
     wanted = buckets.select("doc_id").distinct()
     tokens = map_texts(
@@ -221,17 +232,43 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
         links = stage_table(spark, links.unionByName(verify(stars, tokens, percent)), "links")
         open_ = stage_table(spark, several_components(met.select("doc_id", "k", "w"), links), "open")
     # what is left: the pairs of a block across components that sizes and sketches allow
-    rest = open_.drop("w")
-    rest = rest.join(tokens.select("doc_id", F.size("s").alias("size"), *[F.get("p", i).alias(f"p{i}") for i in range(8)]), "doc_id")
-    a, b = (rest.select("k", *[F.col(c).alias(f"{c}_{x}") for c in rest.columns if c != "k"]) for x in ("a", "b"))
+    rest = in_parts(open_.drop("w"), part_sets)
+    sketches = tokens.select("doc_id", F.size("s").alias("size"), *[F.get("p", i).alias(f"p{i}") for i in range(8)])
+    rest = rest.join(sketches, "doc_id")
+    a, b = (rest.select(*[F.col(c).alias(f"{c}_{x}") for c in rest.columns]) for x in ("a", "b"))
+    numbers = "sequence(0, n_{0} - 1)"
+    a, b = a.withColumn("other", F.explode(F.expr(numbers.format("a")))), b.withColumn("other", F.explode(F.expr(numbers.format("b"))))
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     apart = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(1, 8)), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
     may = (F.col("c_a") != F.col("c_b")) & (F.col("doc_id_a") > F.col("doc_id_b")) & (100 * small >= percent * large) & (apart * percent <= (100 - percent) * small)
-    across = a.alias("a").join(b.alias("b"), (F.col("a.k") == F.col("b.k")) & may)
-    across = across.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    meet = (F.col("k_a") == F.col("k_b")) & (a["other"] == F.col("part_b")) & (F.col("part_a") == b["other"])
+    across = a.join(b, meet & may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
     return sets, stage_table(spark, links.unionByName(verify(across, tokens, percent)), "links")
 
 
+def frequent_keys(made: DataFrame) -> DataFrame:
+    """k and m (estimated) of the keys with more than one part in ``FREQUENT`` of all
+    rows, by the sets whose ids a hash puts into one part of ``SAMPLE``."""
+    total = made.agg(F.sum("n_keys")).first()[0] or 0
+    seen = made.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("k"))
+    many = F.col("m") * SAMPLE > max(total / FREQUENT, 8 * SAMPLE)
+    return seen.groupBy("k").agg(F.count("*").alias("m")).filter(many).select("k", (F.col("m") * SAMPLE).alias("often"))
+
+
+def counted(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``blocks`` and m, how many sets have the key; rows of frequent keys stay apart."""
+    known = blocks.join(F.broadcast(frequent), "k", "left")  # at most FREQUENT rows
+    dealt = known.withColumn("at", F.when(F.col("often").isNotNull(), F.xxhash64("k", "doc_id")).otherwise(F.col("k")))
+    by_key = Window.partitionBy("at", "k")
+    return dealt.withColumn("m", F.coalesce("often", F.count("*").over(by_key))).drop("at", "often")
+
+
+def in_parts(blocks: DataFrame, part_sets: int) -> DataFrame:
+    """Adds n (how many parts of about ``part_sets`` sets the block has) and part."""
+    sizes = blocks.groupBy("k").agg(F.ceil(F.count("*") / F.lit(part_sets)).cast("int").alias("n"))
+    return blocks.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("doc_id", "k"), F.col("n").cast("long")).cast("int"))
+
+
 def several_components(blocks: DataFrame, links: DataFrame) -> DataFrame:
     """``blocks`` and the component c of each set, where a block holds more than one."""
     placed = blocks.join(components(links), F.col("doc_id") == F.col("node"), "left")

@@ -6,9 +6,11 @@ from the labels of neighbouring lines; Viterbi decoding gives the best sequence.
 A text stays if its content lines hold at least ``min_content`` of its words and
 the base rules (number of words, repeated words) let it.
 
-The CRF is fitted on at most ``max_train_docs`` labelled documents (all their
-lines): a line of a document of good quality counts as content, of bad quality
-as boilerplate.  Without labels of both kinds the prior weights decide.
+The CRF is fitted on at most ``max_train_docs`` labelled documents (all lines of
+texts of at most ``max_train_chars`` characters, one text for each id): a line of a
+document of good quality counts as content, of bad quality as boilerplate.  So the
+chain's moves mainly learn that lines of one kind stand together.  Without labels
+of both kinds the prior weights decide.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  A null text counts as empty; a text without
 words fails the base rules.  Repeated rows are judged alike.  Only the named
@@ -18,14 +20,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import map_texts
+from triagelake.llm.common import map_texts, per_text
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 SYMBOLS = b"#*$%&|<>"
@@ -204,8 +203,12 @@ def verdict(crf: LineCrf, body: str | None, min_content: float, min_words: int =
 
 # ---- on DataFrames -----------------------------------------------------------
 
-def train(df: DataFrame, labels: DataFrame, max_train_docs: int = 200, key: str = "doc_id", text: str = "text", label: str = "quality") -> LineCrf:
-    """Fits on documents whose id hashes lowest, half of each quality at most."""
+def train(
+    df: DataFrame, labels: DataFrame, max_train_docs: int = 200, key: str = "doc_id", text: str = "text", label: str = "quality",
+    max_train_chars: int = 20_000,
+) -> LineCrf:
+    """Fits on documents whose id hashes lowest, half of each quality at most; at
+    most ``max_train_docs`` texts of ``max_train_chars`` characters reach the driver."""
     known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     half = max_train_docs // 2
     by_hash = F.xxhash64("doc_id")
@@ -214,7 +217,8 @@ def train(df: DataFrame, labels: DataFrame, max_train_docs: int = 200, key: str
         part = known.filter(F.col("y") == y).distinct().orderBy(by_hash, "doc_id").limit(half)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most max_train_docs rows
-    sample = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    fit = df.filter(F.length(text) <= max_train_chars).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    sample = fit.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(texts: list) -> list[tuple]:
         return [(document(t)[1].ravel().tolist(),) for t in texts]
@@ -257,12 +261,7 @@ def label_lines(df: DataFrame, model: LineCrf | None = None, key: str = "doc_id"
 
 
 def keep_good(df: DataFrame, model: LineCrf | None = None, min_content: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that ``judge`` keeps, with all their columns."""
+    """The rows of ``df`` that ``judge`` keeps, with all their columns, whatever their names."""
     crf = model or LineCrf()
-
-    def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            good = [verdict(crf, body, min_content)[6] for body in frame.column(text).to_pylist()]
-            yield frame.filter(pa.array(good, pa.bool_()))
-
-    return df.mapInArrow(keep, df.schema)
+    good = per_text(df.sparkSession, lambda body: verdict(crf, body, min_content)[6], "boolean")
+    return df.filter(good(F.col(text)))

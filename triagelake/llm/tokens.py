@@ -53,29 +53,30 @@ def to_alphabet(piece: str) -> str:
 
 
 class _Recent(dict):
-    """A two-generation cache: the older half is forgotten when the newer is full."""
+    """A two-generation cache of short keys: the older half is forgotten when the
+    newer is full, so its bytes have a bound."""
 
-    def __init__(self, make, size: int):
+    def __init__(self, make, size: int, longest: int = 64):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
-        return value
-
-    def trim(self) -> None:
-        if len(self) > self.size:
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False).ids`` does."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 120_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -109,9 +110,7 @@ class Encoder:
             return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
         if self.lower:
             text = text.lower()
-        out = b"".join(map(self.packed.__getitem__, self.pieces.findall(text)))
-        self.packed.trim()
-        return out
+        return b"".join(map(self.packed.__getitem__, self.pieces.findall(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_packed(text), self.dtype)

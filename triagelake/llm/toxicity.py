@@ -9,12 +9,16 @@ training texts have significantly more often than the others; at most ``max_stem
 Everything is fitted on at most ``max_train_docs`` labelled documents, chosen by
 a hash of their ids: the stems and trees on four fifths of them, the isotonic
 curve on the rest.  The score is the curve's value, with a thousandth of the
-trees' own probability so that texts of one step keep their order.
+trees' own probability so that texts of one step keep their order.  Without
+labels of both kinds among that rest there is no curve, and the score is the
+trees' probability.
 
 A null or empty text has the features zero.  Rows with one id are scored each on
-its own.  Labels that are null are not used; an id with labels of both kinds
-counts once for each.  With labels of one kind only, the score is the lexicons'.
-Only the named columns are read.  An empty table gives an empty result.
+its own; in fitting, an id stands for one of its texts (that of the least hash), so
+a frequent id adds no rows to the sample.  Labels that are null are not used; an id
+with labels of both kinds counts once for each.  With labels of one kind only, the
+score is the lexicons'.  Only the named columns are read; ``drop_toxic`` keeps the
+others, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from math import log
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import is_held_out, map_texts, stage_table
+from triagelake.llm.common import is_held_out, map_texts, per_text, stage_table
 
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb dumbass loser losers scum trash garbage worthless pathetic disgusting clown "
@@ -132,7 +136,9 @@ class ToxicityModel:
         known = known.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out("doc_id")).distinct()
         # at most max_train_docs rows
         chosen = known.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "y").limit(max_train_docs)
-        sample = stage_table(spark, _base(df, key, text).join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+        rows = _base(df, key, text).join(F.broadcast(chosen), "doc_id")
+        one = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text").isNull()))
+        sample = stage_table(spark, rows.groupBy("doc_id", "y").agg(one.alias("text")), "toxic-sample")
         folded = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(5)))
         train = folded.filter("fold <> 0")
         self.stems = self.trees = self.curve = None
@@ -140,24 +146,22 @@ class ToxicityModel:
         if {r["y"] for r in train.select("y").distinct().collect()} != {0, 1}:
             return
         # every class weighs by its share, so that the probability stays one
-        dense = stage_table(spark, map_texts(folded, ["y", "fold"], self._vector(), "x array<double>"), "toxic-features")
+        dense = stage_table(spark, folded.select("y", "fold", self._vector(spark)("text").alias("x")), "toxic-features")
         dense = dense.withColumn("features", array_to_vector("x")).coalesce(4)
         self.trees = GBTClassifier(labelCol="y", maxIter=15, maxDepth=4, stepSize=0.2, maxBins=32, seed=7).fit(dense.filter("fold <> 0").select("y", "features"))
         tuned = self.trees.transform(dense.filter("fold = 0")).select(F.col("y").cast("double").alias("label"), vector_to_array("probability")[1].alias("features"))
         if tuned.select("label").distinct().count() == 2:
             self.curve = IsotonicRegression().fit(tuned)
 
-    def _vector(self):
+    def _vector(self, spark):
         stems = self.stems
+        return per_text(spark, lambda t: features(t, stems), "array<double>")
 
-        def vector(texts: list) -> list[tuple]:
-            return [(features(t, stems),) for t in texts]
-
-        return vector
-
-    def score(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+    def score(self, rows: DataFrame, keep: list[str], text: Column | str = "text") -> DataFrame:
         """``keep``, score and predicted; rows: the columns ``keep`` and text."""
-        dense = map_texts(rows, keep, self._vector(), "x array<double>")
+        # not deterministic: no filter on the score moves below, where the texts would be read again
+        vector = self._vector(rows.sparkSession).asNondeterministic()
+        dense = rows.select(*keep, vector(text).alias("x"))
         if self.trees is None:
             score = F.least(F.lit(1.0), (F.col("x")[1] + F.col("x")[4]) / 3)
         else:
@@ -180,6 +184,6 @@ def score_documents(df: DataFrame, labels: DataFrame, max_train_docs: int = 20_0
 def drop_toxic(df: DataFrame, labels: DataFrame, max_train_docs: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The rows of ``df`` that are not predicted toxic, with all their columns."""
     model = ToxicityModel(df, labels, max_train_docs, key, text, label)
-    row = F.struct(*[F.col(c) for c in df.columns]).alias("row")
-    scored = model.score(df.select(row, F.col(text).alias("text")), ["row"])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    scored = model.score(rows, ["row"], F.col("row").getField(text))
     return scored.filter("predicted = 0").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
