@@ -3,15 +3,17 @@
 import pytest
 from oracle import compare
 
-from triagelake.plans import catalog
+from triagelake.plans import catalog, quality_plans, text_plans
 
-SF = "/root/testdata/sf0.001"
+DATA = "/root/testdata"
+LARGER = {**text_plans.REGISTRY.oracles, **quality_plans.REGISTRY.oracles}
+CASES = [(n, "sf0.001") for n in sorted(catalog.ORACLES)] + [(n, "sf0.01") for n in sorted(LARGER)]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_query_equals_sql(spark, name):
-    assert compare(spark, catalog.QUERIES[name], catalog.ORACLES[name], SF) == ""
+@pytest.mark.parametrize(("name", "sf"), CASES)
+def test_query_equals_sql(spark, name, sf):
+    assert compare(spark, catalog.QUERIES[name], catalog.ORACLES[name], f"{DATA}/{sf}") == ""
 
 
-def test_every_sql_has_a_query():
-    assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+def test_every_query_has_sql():
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)

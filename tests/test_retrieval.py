@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from triagelake.functions.text import trigram_terms
+from triagelake.functions.text import hash_vector, trigram_terms, windows
 from triagelake.operators import chunking, entities, retrieval
 from triagelake.sources import tables
 
@@ -86,3 +86,80 @@ def test_upsert_and_pages(spark):
     new = spark.createDataFrame([(2, "B"), (None, "N"), (3, "c")], "id int, v string")
     assert sorted(map(repr, map(tuple, tables.upsert(old, new, ["id"]).collect()))) == sorted(map(repr, [(1, "a"), (2, "B"), (None, "N"), (3, "c")]))
     assert [r.id for r in entities.page(old, [F.desc("v")], 1, 2).collect()] == [None, 2]
+
+
+def test_long_terms_and_fields(spark):
+    """Terms longer than a piece, overlapping places, characters of two units."""
+    docs = [(1, "title", "abcabcabcabcabcabcabc"), (1, "content", "x" * 40), (2, "content", "😀ab😀ab"), (3, "content", "the quick brown fox jumps over")]
+    corpus = spark.createDataFrame(docs, "cid long, field string, content string")
+    words = ["abc", "abcabcabcabcabcabc", "x" * 31, "ab😀", "quick brown fox jumps", "quick brown fox jumpy"]
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    got = {(r.cid, r.field, r.term): r.tf for r in retrieval.term_hits(corpus, terms, keep=["field"]).collect()}
+    want = {(c, f, w): n for c, f, t in docs for w in words if (n := sum(t.startswith(w, i) for i in range(len(t))))}
+    assert got == want
+    for text, n, least in (("abcdef", 3, 3), ("ab", 3, 3), ("a😀b😀c", 3, 2), ("", 2, 1)):
+        r = spark.createDataFrame([(text,)], "t string").select(windows(F.col("t"), n, least).alias("w")).first().w
+        assert r == [text[i : i + n] for i in range(len(text) - least + 1)]
+
+
+def test_text_functions_are_linear(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("the quick " * n,)], "t string").select(retrieval.trigrams(F.col("t")).alias("a"), trigram_terms(F.col("t")).alias("b"), hash_vector(F.col("t")).alias("c"))
+        took = []
+        for _ in range(3):
+            began = time.time()
+            df.write.format("noop").mode("overwrite").save()
+            took.append(time.time() - began)
+        return min(took)
+
+    seconds(100)
+    assert seconds(32000) < 8 * max(0.3, seconds(16000))
+
+
+def test_index_lifecycle(spark):
+    chunks = spark.createDataFrame([(1, 10, 1, "abcd"), (2, 10, 2, "bcde"), (3, 11, 1, "cdef")], "cid long, document_id long, version_id long, content string")
+    index = (chunks, *retrieval.postings(chunks))
+    new = spark.createDataFrame([(2, 10, 2, "xyz"), (4, 12, 1, "uvw")], chunks.schema)
+    index = retrieval.index_upsert(*index, new)
+    fresh = retrieval.postings(index[0])
+    assert all(sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) for a, b in zip(index[1:], fresh))
+    gone = spark.createDataFrame([(10, 1), (12, None)], "document_id long, version_id long")
+    left = retrieval.index_delete(*index, gone)
+    assert sorted(r.cid for r in left[0].collect()) == [2, 3] and {r.cid for r in left[1].collect()} == {2, 3} == {r.cid for r in left[2].collect()}
+
+
+def test_records_headings_and_evidence_text(spark):
+    text = "# 甲\n## 一局\n职责\n## 二局\n更多职责"
+    rows = [("q", 1, "p.md", "01_机构职责", text.index("更多"), "更多职责", "标题", 0.5), ("q", 2, "p.md", "01_机构职责", text.index("职责"), "一局的职责", "标题", 0.4), ("q", 5, "p.md", "02", 20, "别的", "标题", 0.3), ("q", 7, "none.md", "01_机构职责", 3, "缺", "标题", 0.2)]
+    chunks = spark.createDataFrame(rows, "q string, rank int, source_path string, category string, start int, content string, title string, score double")
+    sources = spark.createDataFrame([("p.md", text), ("other.md", "## x\n")], "source_path string, text string")
+    got = retrieval.as_records(retrieval.with_heading(chunks, sources), ["q"]).orderBy("rank").collect()
+    assert [r.evidence_id for r in got] == ["E1", "E2", "E3", "E4"] and got[0].title == "[E1] 标题"
+    assert "【所属部门（原文标题）】\n二局\n\n更多职责" in got[0].content and [("所属部门" in r.content) for r in got] == [True, False, False, False]
+    assert got[2].metadata["category"] == "02" and got[2].metadata["source_title"] == "标题" and got[2].metadata["evidence_id"] == "E3"
+    pack = spark.createDataFrame([("q", 2, "E2", None, "源", "kb", "乙", "policy", None, "7"), ("q", 1, "E1", "名", None, "kb", got[0].content, None, "", None)],
+                                 "q string, pos int, evidence_id string, document_title string, source_title string, knowledge_base_id string, content string, source_type string, source_case_id string, case_id string")
+    said = retrieval.evidence_text(pack, ["q"]).first().text
+    assert said.startswith("[E1] \n标题：名\n原文：【以下为") and said.endswith("\n\n[E2] （类型=policy，历史工单号=7）\n标题：源\n原文：乙")
+    ok = spark.createDataFrame([("中华人民共和国环境噪声污染防治法（1996）",), ("噪声污染防治法",), (None,)], "t string")
+    assert ok.filter(retrieval.in_force(F.col("t"))).count() == 2
+
+
+def test_expansions(spark):
+    q = "夜间施工机械噪声扰民，且占道经营；同时路灯不亮没人管"
+    got = retrieval.expand_queries(spark.createDataFrame([(q,), ("  x ",), ("",)], "query string"), retrieval.EXPANSIONS).collect()
+    by = [text for needles, text in retrieval.EXPANSIONS if any(n in q for n in needles)]
+    assert len(retrieval.EXPANSIONS) == 17 and got[0].subqueries == [q, *by, "夜间施工机械噪声扰民", "路灯不亮没人管"][:8]
+    assert [r.subqueries for r in got[1:]] == [["x"], []]
+
+
+def test_updates_of_one_key_and_lists(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "id int, x string, y string")
+    updates = spark.createDataFrame([(1, ["x"], "u", None, 1), (1, ["x", "y"], "v", None, 2), (1, [], "w", "w", 3)], "id int, set_fields array<string>, x string, y string, seq int")
+    assert sorted(map(tuple, entities.partial_update(df, updates, "id").collect())) == [(1, "v", None), (2, "c", "d")]
+    rows = [([1, 2], [1, 2], True), ([1, 2], [2, 1], False), ([1], [1, 2], False), ([None], [None], True), (None, None, True), (None, [1], False)]
+    lists = spark.createDataFrame(rows, "a array<int>, b array<int>, want boolean")
+    assert lists.filter(entities.same_positions(F.col("a"), F.col("b")) == F.col("want")).count() == len(rows)
+    assert [r.id for r in entities.with_title(df, "A", "x").collect()] == [1]

@@ -124,3 +124,33 @@ def test_json_answers(spark):
     rows = [('{"a": 1}',), ("```json\n{\"a\": 2}\n```",), ('text {"a": 3} more',), ("[1]",), ("none",)]
     got = spark.createDataFrame(rows, "t string").select(T.parse_json_object(F.col("t")).alias("v"))
     assert [r.a for r in got.select(F.expr("try_variant_get(v, '$.a', 'int')").alias("a")).collect()] == [1, 2, 3, None, None]
+
+
+def test_persist(spark):
+    rows = [("a1", "城管局", None, ["水务局"], "supported", ["何时"], ["E2", "E1"]), ("a2", "x", "y", [], "supported", [], ["E1", "E9"])]
+    decisions = spark.createDataFrame(rows, "analysis_id string, department string, authority string, collaborators array<string>, status string, facts array<string>, refs array<string>")
+    evidence = spark.createDataFrame([(a, e, f"{a}{e}") for a in ("a1", "a2") for e in ("E1", "E2")], "analysis_id string, evidence_id string, content string")
+    records, citations, rejected = rules.persist(decisions, evidence)
+    got = [tuple(x) for x in records.first().recommended_departments]
+    assert got == [("first_dispatch", "城管局", None), ("competent_authority", "", None), ("collaborating", "水务局", None), ("decision_status", None, "supported"), ("missing_fact", None, "何时")]
+    assert [(r.place, r.content) for r in citations.orderBy("place").collect()] == [(0, "a1E2"), (1, "a1E1")]
+    assert [tuple(r) for r in rejected.collect()] == [("a2", ["E9"])] and records.count() == 1
+
+
+def test_chunk_file(spark):
+    """Front matter and its title, offsets in the whole file, both colons, the first of a key, stripped pieces."""
+    front = "---\ntitle: 甲法\n部门: '乙局'\ntitle2: \n---\n"
+    text = front + "# 头\n**部门**: 丙\n**电话** ： 123 \n**电话**：456\n【文号】\n 一号 \n【长】\n" + "长" * 301 + "\n## 二\n 正文 \n\n"
+    docs = spark.createDataFrame([("01/a.md", "01", text), ("01/b.md", "01", "---\n- x\n---\n正文"), ("01/c.md", "01", "#\n"), ("01/d.md", "01", None), ("01/e.md", "01", "")], "source_path string, category string, text string")
+    got = {}
+    for r in chunking.chunk_documents(docs).orderBy("source_path", "ordinal").collect():
+        got.setdefault(r.source_path, []).append(r)
+    a = got["01/a.md"]
+    assert [(r.title, r.section) for r in a] == [("甲法", "# 头"), ("甲法", "## 二")]
+    assert a[0].start == len(front) and text[a[1].start : a[1].end] == "## 二\n 正文"
+    assert a[0].metadata == {"title": "甲法", "部门": "乙局", "title2": "", "电话": "123", "文号": "一号"}
+    assert a[1].content == "文件：甲法\n类别：01\n章节：## 二\n## 二\n 正文"
+    assert got["01/b.md"][0].start == 0 and got["01/b.md"][0].title == "---" and got["01/c.md"][0].title == "c"
+    assert not {"01/d.md", "01/e.md"} & set(got)
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    assert a[1].chunk_id == hashlib.sha256(f"01/a.md:{a[1].start}:{a[1].end}:{sha}".encode()).hexdigest()

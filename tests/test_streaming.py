@@ -34,3 +34,15 @@ def test_frames_and_fold(spark):
     assert {(r.session, r.value) for r in fields.fold_events(events).collect()} == {("s", "2"), ("t", "3")}
     good, bad = fields.error_frames(events.withColumn("error", F.when(F.col("session") == "t", "x")))
     assert good.count() == 2 and bad.count() == 1
+
+
+def test_scanner_takes_pieces_of_any_size():
+    raw = '{"department": "城\\"管{", "items": [{"quote": "甲", "n": -1.5e3}, [1, {"deep_key": null}]], "Bad Key": 1, "x": {}, "z": true}'
+    want = fields.complete_fields(raw, set())
+    assert [k for k, _ in want] == ["department", "quote", "n", "deep_key", "items", "x", "z"]
+    for size in range(1, 12):
+        scanner, out = fields.FieldScanner(), []
+        for at in range(0, len(raw), size):
+            out += scanner.feed(raw[at : at + size])
+            scanner = fields.FieldScanner.load(scanner.dump())
+        assert out == want and scanner.ended

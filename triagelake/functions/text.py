@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where lambdas read it for
+    each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def hold(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and the named columns, made once: behind a generator of one row, which the
+    optimizer does not look through."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def windows(text: Column, n: int, least: int | None = None) -> Column:
+    """From each place of the text the ``n`` characters there (at its end fewer, but
+    ``least`` or more), in time linear in the text."""
+    least = least or n
+
+    def by_characters(chars: Column) -> Column:
+        return F.when(
+            F.size(chars) >= least,
+            F.transform(F.sequence(F.lit(1), F.size(chars) - least + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), "")),
+        ).otherwise(F.array().cast("array<string>"))
+
+    by_pattern = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{least},{n}}}))"), F.lit(1))
+    # the pattern's places are 16-bit units: not for characters of two
+    two = text.rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.when(two, bind(F.filter(F.split(text, ""), lambda x: x != ""), by_characters)).otherwise(by_pattern)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"{SPACE}+\z|\A{SPACE}+", "")
 
@@ -41,13 +72,11 @@ def ordered_distinct(items: Column) -> Column:
 def trigram_terms(query: Column) -> Column:
     """Distinct search terms: white-space tokens of three characters or more, then
     the three-character windows at every second place of the stripped query."""
-    clean = strip(F.replace(query, F.lit('"'), F.lit(" ")))
-    tokens = F.filter(F.split(clean, rf"{SPACE}+"), lambda t: F.length(t) >= 3)
-    grams = F.when(
-        F.length(clean) >= 3,
-        F.transform(F.sequence(F.lit(1), F.length(clean) - 2, F.lit(2)), lambda i: F.substr(clean, i, F.lit(3))),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(tokens, grams))
+    def terms(clean: Column) -> Column:
+        tokens = F.filter(F.split(clean, rf"{SPACE}+"), lambda t: F.length(t) >= 3)
+        return F.array_distinct(F.concat(tokens, F.filter(windows(clean, 3), lambda x, i: i % 2 == 0)))
+
+    return bind(strip(F.replace(query, F.lit('"'), F.lit(" "))), terms)
 
 
 def sentences(c: Column) -> Column:
@@ -62,13 +91,15 @@ def uuid_of_hash(c: Column) -> Column:
 
 def hash_vector(c: Column) -> Column:
     """A unit vector of 32 components from the SHA-256 of a text (bytes less 127.5)."""
-    digest = F.sha2(c, 256)
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(31)),
-        lambda i: F.conv(F.substr(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") - 127.5,
-    )
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    def unit(raw: Column) -> Column:
+        return bind(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(raw, lambda x: x / norm))
+
+    def components(digest: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") - 127.5
+        )
+
+    return bind(F.sha2(c, 256), lambda digest: bind(components(digest), unit))
 
 
 def parse_json_object(c: Column) -> Column:

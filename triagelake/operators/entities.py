@@ -41,9 +41,14 @@ def soft_delete(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def partial_update(df: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """``updates``: key, set_fields (names) and columns; a listed field is set even
-    to null, any other keeps its value."""
-    fields = [c for c in updates.columns if c not in (key, "set_fields") and c in df.columns]
+    """``updates``: key, set_fields (names), columns and optionally seq; a listed field is
+    set even to null, any other keeps its value.  Of several updates of one key each
+    field takes the last that lists it (by seq; without one, by the greatest value)."""
+    fields = [c for c in updates.columns if c not in (key, "set_fields", "seq") and c in df.columns]
+    order = "seq" if "seq" in updates.columns else None
+    last = [F.max_by(F.struct(c), F.when(F.array_contains("set_fields", c), F.struct(F.col(order or c)))).alias(f"_l{i}") for i, c in enumerate(fields)]
+    merged = updates.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("set_fields"))).alias("set_fields"), *last)
+    updates = merged.select(key, "set_fields", *[F.col(f"_l{i}")[c].alias(c) for i, c in enumerate(fields)])
     u = updates.select(F.col(key).alias("_key"), "set_fields", *[F.col(c).alias(f"_new_{c}") for c in fields])
     joined = df.join(u, F.col(key) == F.col("_key"), "left")
     new = {c: F.when(F.array_contains("set_fields", c), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in fields}
@@ -69,3 +74,13 @@ def recency(last: Column, today: Column) -> Column:
         .when(last >= today - F.expr("INTERVAL 1 DAY"), "Yesterday")
         .otherwise("Earlier")
     )
+
+
+def with_title(df: DataFrame, word: str | None, title: str = "title") -> DataFrame:
+    """Rows whose title is like %word%, in any case."""
+    return keyword(df, word, [title])
+
+
+def same_positions(a: Column, b: Column) -> Column:
+    """Two lists agree in length and at each place; nulls are equal."""
+    return F.coalesce((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda x: x), a.isNull() & b.isNull())

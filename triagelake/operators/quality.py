@@ -134,8 +134,10 @@ def consistency(expected: DataFrame, vectors: DataFrame, lexical: DataFrame, key
     )
 
 
-def repair_jobs(missing: DataFrame, by: list[str], key: str, batch: str) -> DataFrame:
-    """One job for each group of missing keys, with an idempotency key from them."""
+def repair_jobs(missing: DataFrame, by: list[str], key: str, batch: str, ids_a_job: int = 1000) -> DataFrame:
+    """Jobs over the groups' missing keys, each of one range of ``ids_a_job`` keys (so
+    none is unbounded), with an idempotency key from them; key: a number."""
     ids = F.array_join(F.transform(F.array_sort(F.collect_set(key)), lambda x: x.cast("string")), ",")
-    jobs = missing.groupBy(*by).agg(ids.alias("_ids"), F.countDistinct(key).alias("n_items"))
+    ranged = missing.withColumn("first_key", F.floor(F.col(key) / F.lit(ids_a_job)) * ids_a_job)
+    jobs = ranged.groupBy(*by, "first_key").agg(ids.alias("_ids"), F.countDistinct(key).alias("n_items"))
     return jobs.withColumn("idempotency_key", F.sha2(F.concat(F.lit(f"repair:{batch}:"), "_ids"), 256)).drop("_ids")

@@ -215,3 +215,41 @@ def consistency(df: DataFrame, text: str = "content") -> DataFrame:
         "facts": F.array_distinct("facts"),
     })
     return df.drop("_named", "_many", "_duty", "_quote")
+
+
+# Roles of a record's entries that name a unit, and of those that hold a value.
+UNIT_ROLES, VALUE_ROLES = ("first_dispatch", "competent_authority", "collaborating"), ("decision_status", "missing_fact")
+
+
+def entries(role: str, field: str, *values: Column) -> Column:
+    both = {"unit": F.lit(None).cast("string"), "value": F.lit(None).cast("string")}
+    return F.array(*[F.struct(F.lit(role).alias("role"), *[(v if n == field else e).alias(n) for n, e in both.items()]) for v in values])
+
+
+def many(role: str, field: str, values: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.transform(
+        F.coalesce(values, F.array().cast("array<string>")),
+        lambda v: F.struct(F.lit(role).alias("role"), (v if field == "unit" else none).alias("unit"), (v if field == "value" else none).alias("value")),
+    )
+
+
+def persist(decisions: DataFrame, evidence: DataFrame, key: str = "analysis_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """decisions: key, department, authority, collaborators, status, facts, refs; evidence:
+    key, evidence_id and what is to be kept of it.
+
+    (records, citations, rejected): decisions that cite evidence they did not have are
+    rejected with these ids; of the others, the record's role-tagged entries, and one
+    citation for each cited id in the order cited."""
+    cited = decisions.select(key, F.posexplode("refs").alias("place", "evidence_id"))
+    known = evidence.dropDuplicates([key, "evidence_id"])
+    unknown = cited.join(known.select(key, "evidence_id"), [key, "evidence_id"], "left_anti")
+    # the ids that one decision cites
+    rejected = unknown.groupBy(key).agg(F.array_sort(F.collect_set("evidence_id")).alias("unknown"))
+    good = decisions.join(rejected.select(key), key, "left_anti")
+    roles = F.concat(
+        entries("first_dispatch", "unit", F.col("department")), entries("competent_authority", "unit", F.coalesce("authority", F.lit(""))),
+        many("collaborating", "unit", F.col("collaborators")), entries("decision_status", "value", F.col("status")), many("missing_fact", "value", F.col("facts")),
+    )
+    citations = cited.join(good.select(key), key, "left_semi").join(known, [key, "evidence_id"])
+    return good.withColumn("recommended_departments", roles), citations, rejected

@@ -207,8 +207,14 @@ def recency_buckets(spark, d):
     t = table(spark, d, "conversations").select("conv_id").distinct()
     last = F.when(F.col("conv_id") % 5 != 0, F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, cast(conv_id % 72 as int), 0, 0)"))
     t = t.withColumns({"last_at": last, "status": F.when(F.col("conv_id") % 4 == 0, "archived").otherwise("active")})
-    w = Window.partitionBy("status").orderBy(F.desc_nulls_first("last_at"), "conv_id")
-    return t.select("conv_id", "status", entities.recency(F.col("last_at"), F.expr("TIMESTAMP_NTZ '2024-01-03 00:00:00'")).alias("bucket"), F.row_number().over(w).cast("long").alias("place"))
+    t = t.withColumn("bucket", entities.recency(F.col("last_at"), F.expr("TIMESTAMP_NTZ '2024-01-03 00:00:00'")))
+    # numbers within (status, instant), and the instants' counts before: no status is one group
+    w = Window.partitionBy("status", "last_at").orderBy("conv_id")
+    before = Window.partitionBy("status").orderBy(F.desc_nulls_first("last_at")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = t.groupBy("status", "last_at").count().select(
+        F.col("status").alias("s"), F.col("last_at").alias("l"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    rows = t.withColumn("nth", F.row_number().over(w)).join(counts, (F.col("status") == F.col("s")) & F.col("last_at").eqNullSafe(F.col("l")))
+    return rows.select("conv_id", "status", "bucket", (F.col("before") + F.col("nth")).alias("place"))
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY sha256(o_orderkey || ':42'), o_orderkey LIMIT 50")

@@ -18,14 +18,15 @@ def duplicate_groups(spark, d):
 
 
 @query("""
-    WITH u AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY text HAVING count(*) = 1)
-    SELECT d.doc_id, u.doc_id AS matched_id FROM documents d LEFT JOIN u ON sha256(d.text) = u.h WHERE d.doc_id % 2 = 1
+    WITH u AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY text HAVING count(*) = 1)
+    SELECT d.doc_id, u.doc_id AS matched_id FROM documents d LEFT JOIN u ON sha256(d.text) = u.h
 """)
 def unique_hash_match(spark, d):
-    """Odd documents to the even one with their hash, only where it is the only one."""
+    """Every document to the labelled one with its hash, only where it is the only one."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    unique = docs.filter("doc_id % 2 = 0").groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("matched_id")).filter("n = 1")
-    return docs.filter("doc_id % 2 = 1").join(unique, "h", "left").select("doc_id", "matched_id")
+    labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    unique = labelled.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("matched_id")).filter("n = 1")
+    return docs.join(unique, "h", "left").select("doc_id", "matched_id")
 
 
 @query("""
@@ -48,15 +49,16 @@ def tiered_name_match(spark, d):
 
 
 @query("""
-    WITH l AS (SELECT p_partkey AS lid, p_name AS lname FROM part), r AS (SELECT DISTINCT p_type AS rname FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT p_name FROM part WHERE p_partkey % 10 = 0),
+    WITH l AS (SELECT p_partkey AS lid, p_name AS lname FROM part), r AS (SELECT DISTINCT lower(p_type) AS rname FROM part UNION SELECT DISTINCT lower(p_brand) FROM part UNION SELECT lower(s_name) FROM supplier),
          m AS (SELECT lid, lname, rname FROM l JOIN r ON contains(lname, rname) OR contains(rname, lname))
     SELECT lid, arg_min(rname, (rname <> lname, -length(rname), rname)) AS rname FROM m GROUP BY lid
 """)
 def containment_match(spark, d):
+    """All part names against all types, brands and suppliers' names."""
     p = table(spark, d, "part")
     left = p.select(F.col("p_partkey").alias("lid"), F.col("p_name").alias("lname"))
-    right = p.select("p_type").union(p.select("p_brand")).union(p.filter("p_partkey % 10 = 0").select("p_name")).distinct().toDF("rname")
-    got = quality.containment_match(left, right.withColumn("rid", F.col("rname")))
+    names = p.select(F.lower("p_type")).union(p.select(F.lower("p_brand"))).union(table(spark, d, "supplier").select(F.lower("s_name"))).distinct().toDF("rname")
+    got = quality.containment_match(left, names.withColumn("rid", F.col("rname")))
     return got.select("lid", "rname")
 
 
@@ -110,13 +112,13 @@ def consistency_diff(spark, d):
 
 
 @query("""
-    SELECT source, sha256('repair:b1:' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS idempotency_key, count(*) AS n_items
-    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source
+    SELECT source, CAST(floor(doc_id / 1000) * 1000 AS BIGINT) AS first_key, sha256('repair:b1:' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS idempotency_key, count(*) AS n_items
+    FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL
 """)
 def repair_jobs(spark, d):
     docs, labels = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id")
     jobs = quality.repair_jobs(docs.join(labels, "doc_id", "left_anti"), ["source"], "doc_id", "b1")
-    return jobs.select("source", "idempotency_key", "n_items")
+    return jobs.select("source", "first_key", "idempotency_key", "n_items")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 OR lang = 'fr'")
@@ -143,7 +145,7 @@ def coverage_ratio(spark, d):
 
 @query("""
     WITH a AS (SELECT s_suppkey, s_name, s_nationkey FROM supplier), m AS (SELECT n_name || '-' || s_name AS name, 'supplier' AS src FROM a JOIN nation ON n_nationkey = s_nationkey
-         UNION ALL SELECT n_name || '-' || c_name, 'customer' FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0
+         UNION ALL SELECT n_name || '-' || c_name, 'customer' FROM customer JOIN nation ON n_nationkey = c_nationkey
          UNION ALL SELECT n_name, 'nation' FROM nation UNION ALL SELECT n_name, 'master' FROM nation)
     SELECT name, string_agg(DISTINCT src, ',' ORDER BY src) AS sources FROM m GROUP BY name
 """)
@@ -151,6 +153,6 @@ def department_master(spark, d):
     """Names from several sources, each with its sorted distinct sources."""
     n = table(spark, d, "nation")
     s = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.concat_ws("-", "n_name", "s_name").alias("name"), F.lit("supplier").alias("src"))
-    c = table(spark, d, "customer").filter("c_custkey % 2 = 0").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat_ws("-", "n_name", "c_name"), F.lit("customer"))
+    c = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat_ws("-", "n_name", "c_name"), F.lit("customer"))
     rows = s.union(c).union(n.select("n_name", F.lit("nation"))).union(n.select("n_name", F.lit("master")))
     return rows.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("sources"))

@@ -15,26 +15,32 @@ query = REGISTRY.query
 
 COSINE = "round(list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))), 6)"
 VECTORS = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
-CHARS = "h AS (SELECT doc_id, string_split(lower(text), '') AS a FROM documents)"
-GRAMS = f"""{CHARS}, g AS (
-        SELECT doc_id, unnest(list_transform(range(1, len(a) - 1), lambda i: a[i] || a[i + 1] || a[i + 2])) AS term FROM h WHERE len(a) >= 3
-    ), tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL),
-    dl AS (SELECT doc_id, greatest(len(a) - 2, 0) AS dl FROM h)"""
+
+
+def places(rows: str, keep: str) -> str:
+    """SQL of (keep, t, i, w): the 32 characters (at the end fewer) from each place i of ``t``."""
+    window = "concat(c, " + ", ".join(f"lead(c, {k}) OVER p" for k in range(1, 32)) + ")"
+    chars = f"SELECT {keep}, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM {rows}"
+    return f"SELECT {keep}, i, {window} AS w FROM ({chars}) WINDOW p AS (PARTITION BY {keep} ORDER BY i)"
+
+
+#: Terms of any length: the first 32 characters by the window, the rest by the text.
+MEET = "left(w.w, 3) = left(x.term, 3) AND starts_with(w.w, left(x.term, 32))"
+WHOLE = "length(x.term) <= 32 OR substr(t, i, length(x.term)) = x.term"
+GRAMS = """h AS (SELECT doc_id, string_split(lower(text), '') AS a FROM documents),
+    g AS (SELECT doc_id, unnest(list_transform(list_zip(a[:-3], a[2:-2], a[3:]), lambda x: x[1] || x[2] || x[3])) AS term FROM h WHERE len(a) >= 3),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL)"""
 TERMS = """t0 AS (
         SELECT item_id, regexp_replace(replace(text, '"', ' '), '^\\s+|\\s+$', '', 'g') AS c FROM benchmark
     ), t1 AS (
         SELECT item_id, unnest(list_filter(string_split_regex(c, '\\s+'), lambda x: length(x) >= 3)) AS term FROM t0
         UNION ALL
-        SELECT item_id, substr(c, i, 3) AS term FROM t0, range(1, 100000, 2) r(i) WHERE i <= length(c) - 2
+        SELECT item_id, substr(c, i, 3) AS term FROM (SELECT *, unnest(range(1, length(c) - 1, 2)) AS i FROM t0)
     ), terms AS (SELECT DISTINCT item_id, lower(term) AS term FROM t1)"""
-WINDOW = "concat(c, " + ", ".join(f"lead(c, {k}) OVER p" for k in range(1, 32)) + ")"
-BM25 = f"""{CHARS}, {TERMS},
-    dl AS (SELECT doc_id, greatest(len(a) - 2, 0) AS dl FROM h),
-    ch AS (SELECT doc_id, unnest(a) AS c, generate_subscripts(a, 1) AS i FROM h),
-    w AS (SELECT doc_id, {WINDOW} AS w FROM ch WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
-    tf AS (
-        SELECT doc_id, term, count(*) AS tf FROM w JOIN (SELECT DISTINCT term FROM terms) t ON left(w.w, 3) = left(t.term, 3) AND starts_with(w.w, t.term) GROUP BY ALL
-    ),
+BM25 = f"""h AS (SELECT doc_id, lower(text) AS t FROM documents), {TERMS},
+    dl AS (SELECT doc_id, greatest(length(t) - 2, 0) AS dl FROM h),
+    w AS ({places("h", "doc_id")}),
+    tf AS (SELECT doc_id, x.term, count(*) AS tf FROM w JOIN (SELECT DISTINCT term FROM terms) x ON {MEET} JOIN h USING (doc_id) WHERE {WHOLE} GROUP BY ALL),
     n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     s AS (
@@ -84,17 +90,23 @@ def trigram_postings(spark, d):
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
-@query(f"WITH {CHARS} SELECT count(*) AS n, CAST(sum(greatest(len(a) - 2, 0)) AS BIGINT) AS tokens, round(avg(greatest(len(a) - 2, 0)), 6) AS avgdl FROM h")
+@query("""
+    SELECT count(*) AS n, CAST(sum(greatest(length(lower(text)) - 2, 0)) AS BIGINT) AS tokens, round(avg(greatest(length(lower(text)) - 2, 0)), 6) AS avgdl FROM documents
+""")
 def corpus_stats(spark, d):
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("content"))
     _, dl = retrieval.postings(corpus)
     return dl.agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
+def asked_terms(spark, d):
+    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(trigram_terms(F.col("text"))).alias("term"))
+    return terms.withColumn("term", F.lower("term")).distinct()
+
+
 def lexical(spark, d, k):
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("content"))
-    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(trigram_terms(F.col("text"))).alias("term"))
-    terms = terms.withColumn("term", F.lower("term")).distinct()
+    terms = asked_terms(spark, d)
     _, dl = retrieval.postings(corpus)
     return retrieval.bm25_top_k(terms, retrieval.term_hits(corpus, terms), dl, k)
 
@@ -104,6 +116,34 @@ def bm25_topk(spark, d):
     return lexical(spark, d, 10).select("query_id", "cid", "score", F.col("rank").cast("long"))
 
 
+@query(f"""
+    WITH {TERMS},
+    f AS (SELECT doc_id, 'title' AS field, lower(source) AS t FROM documents UNION ALL SELECT doc_id, 'content', lower(text) FROM documents),
+    dl AS (SELECT doc_id, CAST(sum(greatest(length(t) - 2, 0)) AS BIGINT) AS dl FROM f GROUP BY doc_id),
+    w AS ({places("f", "doc_id, field")}),
+    hit AS (SELECT doc_id, field, x.term FROM w JOIN (SELECT DISTINCT term FROM terms) x ON {MEET} JOIN f USING (doc_id, field) WHERE {WHOLE}),
+    tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf, CAST(sum(CASE field WHEN 'title' THEN 2 ELSE 1 END) AS DOUBLE) AS heavy FROM hit GROUP BY ALL),
+    n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    p AS (
+        SELECT q.item_id, tf.doc_id, CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END AS idf,
+               tf, heavy, 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl) AS norm
+        FROM terms q JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = tf.doc_id, n
+    ), s AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.2 / (tf + norm)), 6) AS plain, round(sum(idf * heavy * 2.2 / (heavy + norm)), 6) AS score FROM p GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY plain DESC, doc_id) AS rank FROM s)
+    SELECT item_id AS query_id, doc_id AS cid, plain, score, rank FROM r WHERE rank <= 10
+""")
+def bm25_weighted(spark, d):
+    """Two fields (source as the title, text): chosen with both alike, scored with a title hit as two."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("source").alias("title"), "text")
+    fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).alias("content")) for n, c in (("title", "title"), ("content", "text"))])
+    corpus = docs.select("cid", F.inline(fields))
+    terms = asked_terms(spark, d)
+    _, dl = retrieval.postings(corpus)
+    dl = dl.groupBy("cid").agg(F.sum("dl").alias("dl"))
+    got = retrieval.weighted_top_k(terms, retrieval.term_hits(corpus, terms, keep=["field"]), dl, {"title": 2.0, "content": 1.0}, 10)
+    return got.select("query_id", "cid", "plain", "score", F.col("rank").cast("long"))
+
+
 FUSED = """
     r AS ({ranked}),
     l AS (SELECT {by}, sub, cid, sum(1.0::DOUBLE / (60 + rank)) AS own, min((src, rank)) AS seen FROM r GROUP BY ALL),

@@ -17,19 +17,47 @@ query = REGISTRY.query
 @query("""
     SELECT doc_id, CAST(o AS BIGINT) AS ordinal, CAST(o * 780 AS BIGINT) AS start, least(o * 780 + 900, length(text)) AS "end",
            sha256(substr(text, o * 780 + 1, 900)) AS piece_sha256
-    FROM documents, range(0, 1000) r(o) WHERE o * 780 < greatest(length(text) - 120, 1) AND length(text) > 0
+    FROM (SELECT *, unnest(range(0, length(text) // 780 + 1)) AS o FROM documents) WHERE o * 780 < greatest(length(text) - 120, 1) AND length(text) > 0
 """)
 def chunk_fixed_overlap(spark, d):
     got = chunking.fixed_chunks(table(spark, d, "documents"), "doc_id", "text")
     return got.select("doc_id", "ordinal", "start", "end", F.sha2("piece", 256).alias("piece_sha256"))
 
 
-@query()
+FRONT = "'(?s)^---\\s*\\n(.*?)\\n---\\s*\\n'"
+TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+STOP = """CASE WHEN {a} + 900 >= length(s) THEN length(s)
+              WHEN regexp_matches(substr(s, {a} + 451, 450), '[。；\\n]') THEN {a} + 900 - length(regexp_extract(substr(s, {a} + 451, 450), '[^。；\\n]*$'))
+              ELSE {a} + 900 END"""
+
+
+@query(f"""
+    WITH RECURSIVE d AS (
+        SELECT source || '/' || doc_id || '.md' AS source_path, doc_id, lang AS category, sha256(text) AS sha256, text, length(regexp_extract(text, {FRONT}, 0)) AS shift FROM documents
+    ), b AS (SELECT *, substr(text, shift + 1) AS body FROM d),
+    l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM b),
+    p AS (SELECT doc_id, n, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 1 AS BIGINT) AS pos FROM l),
+    h AS (SELECT doc_id, pos FROM p WHERE n = 1 OR regexp_matches(line, '^(#{{1,6}}\\s+.+|[一二三四五六七八九十]+、.+|（[一二三四五六七八九十]+）.+)$')),
+    e AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM h),
+    t AS (SELECT b.*, pos, {TRIM.format("substr(body, pos + 1, coalesce(upto, length(body)) - pos)")} AS s FROM e JOIN b USING (doc_id)),
+    c AS (
+        SELECT doc_id, pos, s, CAST(0 AS BIGINT) AS a, CAST({STOP.format(a="0")} AS BIGINT) AS z FROM t WHERE s <> ''
+        UNION ALL
+        SELECT doc_id, pos, s, greatest(a + 1, z - 120), CAST({STOP.format(a="greatest(a + 1, z - 120)")} AS BIGINT) FROM c WHERE z < length(s)
+    ), o AS (
+        SELECT b.*, c.pos + b.shift + a AS start, c.pos + b.shift + z AS "end", substr(regexp_extract(s, '^[^\\n]*'), 1, 160) AS section, substr(s, a + 1, z - a) AS piece,
+               row_number() OVER (PARTITION BY doc_id ORDER BY c.pos, a) - 1 AS ordinal, regexp_extract({TRIM.format("body")}, '^[^\\n]*') AS first_line
+        FROM c JOIN b USING (doc_id)
+    ), n AS (SELECT *, coalesce(nullif({TRIM.format("regexp_replace(first_line, '^#+', '')")}, ''), doc_id::VARCHAR) AS title FROM o)
+    SELECT sha256(source_path || ':' || start || ':' || "end" || ':' || sha256) AS chunk_id, left(sha256(source_path), 32) AS document_id, category, title, source_path, sha256,
+           ordinal, start, "end", section, md5('文件：' || title || chr(10) || '类别：' || category || chr(10) || '章节：' || section || chr(10) || {TRIM.format("piece")}) AS content_md5
+    FROM n
+""")
 def chunk_documents(spark, d):
-    """Sections, cuts at delimiters and hash ids (positions are carried along, so
-    tests hold this against a plain loop)."""
+    """Sections, cuts at marks and hash ids, with the prefixed content's MD5."""
     docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source_path"), F.col("lang").alias("category"), "text")
-    return chunking.chunk_documents(docs).drop("content")
+    got = chunking.chunk_documents(docs)
+    return got.withColumn("content_md5", F.md5("content")).withColumn("ordinal", F.col("ordinal").cast("long")).drop("content", "metadata")
 
 
 @query("""
@@ -40,10 +68,10 @@ def chunk_documents(spark, d):
 def chunk_lines(spark, d):
     """Boundaries of lines, each with the next: adjacent pairs."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    docs = docs.select("doc_id", "n", F.length("line").cast("long").alias("n_chars"))  # lines stay, sizes move
     by = Window.partitionBy("doc_id").orderBy("n")
-    start = (F.sum(F.length("line") + 1).over(by) - F.length("line") - 1).cast("long")
-    rows = docs.withColumn("start", start)
-    return rows.select("doc_id", (F.col("n") + 1).cast("long").alias("ordinal"), "start", F.lead("start").over(by).alias("next_start"), F.length("line").cast("long").alias("n_chars"))
+    rows = docs.withColumn("start", F.sum(F.col("n_chars") + 1).over(by) - F.col("n_chars") - 1)
+    return rows.select("doc_id", (F.col("n") + 1).cast("long").alias("ordinal"), "start", F.lead("start").over(by).alias("next_start"), "n_chars")
 
 
 @query("""
@@ -98,28 +126,31 @@ def confidence_caps(spark, d):
     return rows.select("doc_id", "status", F.when(s == "needs_fact_check", rules.capped(c, 0.7)).otherwise(c).alias("confidence"))
 
 
-@query("""
-    WITH q AS (SELECT item_id, trim(substr(text, 5, 40)) AS quote, substr(text, 5, 40) AS raw FROM benchmark)
-    SELECT q.item_id, d.doc_id FROM q JOIN documents d ON contains(d.text, q.raw) WHERE length(q.quote) >= 8
-""")
+@query("SELECT q.item_id, d.doc_id FROM benchmark q JOIN documents d ON contains(d.text, q.text) WHERE length(trim(q.text)) >= 8")
 def quote_verification(spark, d):
-    """Quotes found in the texts: both sides meet on an eight-character part."""
-    q = table(spark, d, "benchmark").select("item_id", F.substr("text", F.lit(5), F.lit(40)).alias("quote"))
-    q = q.filter(F.length(F.trim("quote")) >= 8).withColumn("g", F.left("quote", F.lit(8)))
-    docs = table(spark, d, "documents").select("doc_id", F.inline(F.array(F.struct(F.col("text").alias("text")))))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 7, F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(8))))
-    met = docs.select("doc_id", "text", F.explode(grams).alias("g")).join(q, "g")
-    return met.filter(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
+    """Whole quotes found in whole texts: both sides meet on the quotes' first eight
+    characters, ids alone pass that join, and the texts of those that met are compared."""
+    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")).filter(F.length(F.trim("quote")) >= 8)
+    heads = q.select("item_id", F.left("quote", F.lit(8)).alias("g"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    grams = T.hold(docs, ["doc_id"], grams=F.array_distinct(T.windows(F.col("text"), 8)))
+    met = grams.select("doc_id", F.explode("grams").alias("g")).join(heads, "g").select("doc_id", "item_id").distinct()
+    return met.join(docs, "doc_id").join(q, "item_id").filter(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
 
 
-@query("""
-    WITH p AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, role) AS first_turn FROM conversations),
-         u AS (SELECT conv_id, role, first_turn, trim(substr(text, 1, 60)) AS q, min(turn) AS t FROM p WHERE trim(substr(text, 1, 60)) <> '' GROUP BY ALL),
-         g AS (SELECT conv_id, role, first_turn, string_agg('- ' || q, chr(10) ORDER BY t, q) AS body FROM u GROUP BY ALL)
-    SELECT conv_id, string_agg('“' || role || '”负责：' || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY first_turn, role) AS summary FROM g GROUP BY conv_id
+STRIPPED = "regexp_replace(text, '^[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g')"
+
+
+@query(f"""
+    WITH p AS (SELECT *, {STRIPPED} AS q FROM conversations),
+         f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, role) AS first_turn FROM p WHERE q <> ''),
+         u AS (SELECT conv_id, role, first_turn, q, min(turn) AS t FROM f GROUP BY ALL),
+         g AS (SELECT conv_id, role, first_turn, string_agg('- ' || q, chr(10) ORDER BY t, q) AS body FROM u GROUP BY ALL),
+         s AS (SELECT conv_id, string_agg('“' || role || '”负责：' || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY first_turn, role) AS summary FROM g GROUP BY conv_id)
+    SELECT conv_id, summary FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN s USING (conv_id)
 """)
 def grouped_distinct_summary(spark, d):
-    part = F.struct("turn", "role", F.left("text", F.lit(60)).alias("quote"))
+    part = F.struct("turn", "role", F.col("text").alias("quote"))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("items"))
     items = F.transform("items", lambda i: F.struct(i["role"].alias("source"), i["quote"].alias("quote")))
     return rows.select("conv_id", T.grouped_summary(items).alias("summary"))

@@ -1,7 +1,8 @@
 """Fields of a JSON answer as its text arrives in pieces.
 
-A field counts as complete once its value decodes and a comma or a closing brace
-follows; each key is given once per session, keys of nested objects too.
+A field (a key of small letters and underscores) counts as complete once its value
+has ended and a comma or a closing brace follows; each key is given once per session,
+keys of nested objects too.
 """
 
 from __future__ import annotations
@@ -15,46 +16,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-KEY = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*')
-FOLLOWS = re.compile(r"\s*[,}]")
-DECODER = json.JSONDecoder()
+#: A whole string, a mark of structure, or a number or word.
+TOKEN = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+)', re.S)
+FIELD = re.compile(r"[a-z_]+")
 OUTPUT = "session string, field string, value string"
 
 
-def complete_fields(raw: str, known: set[str]) -> list[tuple[str, str]]:
-    """(key, value as JSON) of the fields that are complete in ``raw`` and not known yet."""
-    out = []
-    for m in KEY.finditer(raw):
-        name = m.group(1)
-        if name in known:
-            continue
+class FieldScanner:
+    """Reads JSON text piece by piece, each character once.
+
+    ``open``: the containers around the place reached, as [bracket, key of its value,
+    where the value begins]; ``done``: the value that ended last and waits for a comma
+    or a closing brace.  ``text`` is what is not read yet and what open values need."""
+
+    def __init__(self, known: set[str] | None = None):
+        self.text, self.at, self.open, self.key, self.done, self.known = "", 0, [], None, None, set(known or ())
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        """(key, value as JSON) of the fields that this piece completes."""
+        self.text += piece
+        out = []
+        while m := TOKEN.match(self.text, self.at):
+            token, start, end = m.group(1), m.start(1), m.end()
+            if token[0] not in '{}[],:"' and end == len(self.text):
+                break  # a number or word may go on
+            self.at = end
+            if token in "{[":
+                self.open.append([token, self.key, start])
+                self.key = None
+            elif token in "}],":
+                if self.done and token != "]":
+                    out += self._give(*self.done)
+                self.done = None
+                if token != "," and self.open:
+                    _, key, begin = self.open.pop()
+                    self.done = [key, begin, end]
+                self.key = None
+            elif token == ":":
+                if self.done and self.done[0] is None and self.open and self.open[-1][0] == "{":
+                    name = self.text[self.done[1] : self.done[2]]
+                    self.key = name[1:-1] if name[0] == '"' else None
+                self.done = None
+            else:
+                self.done, self.key = [self.key, start, end], None
+        self._forget()
+        return out
+
+    @property
+    def ended(self) -> bool:
+        """The outermost value is closed."""
+        return not self.open and self.done is not None
+
+    def _give(self, key: str | None, start: int, end: int) -> list[tuple[str, str]]:
+        if key is None or key in self.known or not FIELD.fullmatch(key):
+            return []
         try:
-            value, end = DECODER.raw_decode(raw, m.end())
+            value = json.loads(self.text[start:end])
         except ValueError:
-            continue
-        if FOLLOWS.match(raw, end):
-            known.add(name)
-            out.append((name, json.dumps(value, ensure_ascii=False)))
+            return []
+        self.known.add(key)
+        return [(key, json.dumps(value, ensure_ascii=False))]
+
+    def _forget(self) -> None:
+        needed = [x[2] for x in self.open if x[1] is not None] + ([self.done[1]] if self.done else [])
+        cut = min([self.at, *needed])
+        self.text, self.at = self.text[cut:], self.at - cut
+        for x in self.open:
+            x[2] -= cut
+        if self.done:
+            self.done[1:] = [self.done[1] - cut, self.done[2] - cut]
+
+    def dump(self) -> str:
+        return json.dumps([self.text, self.at, self.open, self.key, self.done, sorted(self.known)])
+
+    @classmethod
+    def load(cls, state: str) -> FieldScanner:
+        out = cls()
+        out.text, out.at, out.open, out.key, out.done, known = json.loads(state)
+        out.known = set(known)
+        return out
+
+
+def complete_fields(raw: str, known: set[str]) -> list[tuple[str, str]]:
+    """The fields that are complete in ``raw`` and not known yet, in the order of their ends."""
+    scanner = FieldScanner(known)
+    out = scanner.feed(raw)
+    known |= scanner.known
     return out
 
 
-def field_events(chunks: DataFrame) -> DataFrame:
-    """Streaming chunks (session, seq, chunk) to events (session, field, value)."""
+def field_events(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Streaming chunks (session, seq, chunk) to events (session, field, value).  The
+    state of a session goes with the end of its answer; with ``idle_ms``, that of one
+    without chunks for so long goes, too (such a query runs batches without new data)."""
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        raw, known = state.get if state.exists else ("", "[]")
-        names = set(json.loads(known))
-        rows = []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        scanner, rows = FieldScanner.load(state.get[0]) if state.exists else FieldScanner(), []
         for frame in frames:
             for chunk in frame.sort_values("seq")["chunk"]:
-                raw += chunk
-                rows += complete_fields(raw, names)
-        state.update((raw, json.dumps(sorted(names))))
+                rows += scanner.feed(chunk)
+        if scanner.ended:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((scanner.dump(),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *r) for r in rows], columns=["session", "field", "value"])
 
-    return chunks.groupBy("session").applyInPandasWithState(
-        step, OUTPUT, "raw string, known string", "append", GroupStateTimeout.NoTimeout
-    )
+    return chunks.groupBy("session").applyInPandasWithState(step, OUTPUT, "scanner string", "append", timeout)
 
 
 def fold_events(events: DataFrame, order: str = "seq") -> DataFrame:
