@@ -76,7 +76,7 @@ class _Recent(dict):
 class Encoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False).ids`` does."""
 
-    def __init__(self, path: str, cache_size: int = 120_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
