@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from plain_passages import clean
-from triagelake.llm import linededup
+from triagelake.llm import linededup, queries
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string"
@@ -106,3 +106,14 @@ def test_stages_with_nulls_ties_and_clashing_names(spark):
         assert stage(spark, empty, SF).count() == 0
     packed = corpus_pipeline.pack_sequences(spark, docs, SF)
     assert packed.filter("start = 0").count() == len(rows) and corpus_pipeline.pack_sequences(spark, empty, SF).count() == 0
+
+
+def test_columns_that_are_not_asked_for(spark):
+    """Any choice of the result's columns can be taken."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = docs.count()
+    cleaned = linededup.dedup_passages(docs)
+    for columns in (["doc_id", "text", "n_lines", "n_removed"], ["n_removed"], ["lang"], ["text"], ["doc_id"]):
+        assert len(cleaned.select(*columns).collect()) == n
+    assert len(queries.op6_line_dedup(spark, SF).collect()) == n
+    assert len(corpus_pipeline.line_dedup(spark, docs, SF).select("doc_id").collect()) <= n
