@@ -141,16 +141,12 @@ def parity_sketch(tokens: np.ndarray, bits: int = 512) -> list[int]:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of every node of ``edges`` (a, b),
-    by alternating large-star and small-star steps; each is written to the shared
-    folder."""
+    by alternating large-star and small-star steps until each node has one edge to
+    its smallest; each step is written to the shared folder.  Edges that are such
+    stars already need no step."""
     spark = edges.sparkSession
     now = stage_table(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+    while not are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -161,6 +157,13 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node of ``edges`` (a > b) has one smaller neighbour, or larger ones only."""
+    ends = edges.selectExpr("a AS node", "1 AS up", "0 AS down").union(edges.selectExpr("b", "0", "1"))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if(F.expr("up > 1 or (up = 1 and down = 1)"))).first()[0] == 0
+
+
 # ---- on DataFrames -----------------------------------------------------------
 
 def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,7 +176,7 @@ def jaccard_join(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_i
 
 def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", rounds: int = 2, part_sets: int = 512) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles) of every row, and links (a, b) that join each pair of
-    similar documents, directly or over others."""
+    similar documents, directly or over others (over the smallest of their group)."""
     spark = df.sparkSession
     base = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first_seen: dict[bytes, int] = {}
@@ -223,14 +226,16 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
     tokens = stage_table(spark, tokens, "tokens")
 
     # In each round a block's central set (the one whose blocks most others share)
-    # meets all others of the block that are not in its component yet.
+    # meets all others of the block that are not in its component yet.  Of the links
+    # so far only the stars of their components go on.
     links, open_ = stage_table(spark, equal, "links"), buckets
     for _ in range(max(1, rounds)):
         head = open_.groupBy("k").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("id"))).alias("h")).select("k", (-F.col("h.id")).alias("b"))
         met = open_.join(head, "k").filter("doc_id <> b").select("doc_id", "k", "w", "b")
         stars = met.select(F.col("doc_id").alias("a"), "b").distinct()
-        links = stage_table(spark, links.unionByName(verify(stars, tokens, percent)), "links")
-        open_ = stage_table(spark, several_components(met.select("doc_id", "k", "w"), links), "open")
+        found = components(links.unionByName(verify(stars, tokens, percent)))
+        links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        open_ = stage_table(spark, several_components(met.select("doc_id", "k", "w"), found), "open")
     # what is left: the pairs of a block across components that sizes and sketches allow
     rest = in_parts(open_.drop("w"), part_sets)
     sketches = tokens.select("doc_id", F.size("s").alias("size"), *[F.get("p", i).alias(f"p{i}") for i in range(8)])
@@ -243,7 +248,7 @@ def jaccard_links(df: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_
     may = (F.col("c_a") != F.col("c_b")) & (F.col("doc_id_a") > F.col("doc_id_b")) & (100 * small >= percent * large) & (apart * percent <= (100 - percent) * small)
     meet = (F.col("k_a") == F.col("k_b")) & (a["other"] == F.col("part_b")) & (F.col("part_a") == b["other"])
     across = a.join(b, meet & may).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    return sets, stage_table(spark, links.unionByName(verify(across, tokens, percent)), "links")
+    return sets, links.unionByName(verify(across, tokens, percent))
 
 
 def frequent_keys(made: DataFrame) -> DataFrame:
@@ -269,9 +274,9 @@ def in_parts(blocks: DataFrame, part_sets: int) -> DataFrame:
     return blocks.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("doc_id", "k"), F.col("n").cast("long")).cast("int"))
 
 
-def several_components(blocks: DataFrame, links: DataFrame) -> DataFrame:
+def several_components(blocks: DataFrame, found: DataFrame) -> DataFrame:
     """``blocks`` and the component c of each set, where a block holds more than one."""
-    placed = blocks.join(components(links), F.col("doc_id") == F.col("node"), "left")
+    placed = blocks.join(found, F.col("doc_id") == F.col("node"), "left")
     placed = placed.select(*blocks.columns, F.coalesce("component", "doc_id").alias("c"))
     ends = placed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("k")
     return placed.join(ends, "k", "left_semi")
