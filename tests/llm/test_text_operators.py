@@ -1,6 +1,7 @@
 """Sharding, line dedup, Jaccard join, quality, toxicity and URLs against plain loops."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -263,3 +264,46 @@ def test_urls(spark):
     table = urls.labelled_urls(spark)
     right = model.score(table).filter((F.col("score") >= 0.5).cast("int") == F.col("blocked")).count()
     assert right > 0.95 * table.count()
+
+
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """The 32-bit hash by its published definition, signed."""
+    m, h = 0xFFFFFFFF, seed
+    turn = lambda x, r: ((x << r) | (x >> (32 - r))) & m
+    blend = lambda k: turn(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+    for i in range(0, len(data) - len(data) % 4, 4):
+        h = (turn(h ^ blend(int.from_bytes(data[i : i + 4], "little")), 13) * 5 + 0xE6546B64) & m
+    h ^= blend(int.from_bytes(data[len(data) - len(data) % 4 :], "little")) if len(data) % 4 else 0
+    h ^= len(data)
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & m
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_url_scores_against_plain_sums(spark):
+    """The model's half of a verdict: n-grams, their hashes and the logistic sum in plain
+    Python; a table that has columns named as the model's own; an empty table."""
+    model = urls.UrlModel(urls.labelled_urls(spark))
+    weights, bias, n = model.model.coefficients.toArray(), model.model.intercept, len(model.model.coefficients)
+    cases = [None, "", "no scheme", "http://", "https://Casino.EXAMPLE.net/de/8?x#y", "ftp://a.b/é\u3000/ü", "http://x/" + "long/" * 3000, "http://x", "http://x"]
+    df = spark.createDataFrame([(i, u, "s", "g", 1.0) for i, u in enumerate(cases)], "page_id long, url string, score string, grams string, prediction double")
+    got = {r.page_id: r for r in urls.judge_urls(df).collect()}
+    assert len(got) == len(cases)
+    for i, u in enumerate(cases):
+        rest = (u or "").partition("://")[2]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        grams = [m + g[k : k + 3] for m, g in (("h:", f"^{host}$"), ("p:", f"^{path}$")) for k in range(max(1, len(g) - 2))]
+        z = bias + sum(weights[murmur3(g.encode()) % n] for g in grams)
+        want = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+        assert (got[i].host, got[i].path) == (host, path)
+        assert abs(got[i].score - want) < 1e-6, (u, got[i].score, want)
+    assert urls.judge_urls(df.limit(0)).count() == 0
+
+
+def test_urls_of_unseen_hosts(spark):
+    right = urls.held_out_accuracy(urls.labelled_urls(spark))
+    print(right)
+    assert min(right.values()) >= 0.9
