@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import bpe, idfiles, jaccard, linededup, packing, quality, shards, topk, toxicity, urls
+from triagelake.llm import bpe, idfiles, jaccard, linededup, packing, quality, shards, topk, toxicity, urls, variants
 from triagelake.llm.common import fresh_path
 from triagelake.llm.tokens import vocabulary
 
@@ -61,11 +61,15 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_bloom_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.damaged_words(table(spark, sf_dir, "documents")), min_count=5, ratio=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_feistel_shards, op2_bpe_tree, op3_toxicity, op4_jaccard_join, op5_exact_top_k,
-        op6_line_dedup, op7_id_files, op8_url_filter, op9_bin_slack_packing, op10_line_crf,
+        op6_line_dedup, op7_id_files, op8_url_filter, op9_bin_slack_packing, op10_line_crf, op11_bloom_variants,
     )
 }
 
