@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import bpe, conversations, idfiles, jaccard, linededup, packing, quality, shards, topk, toxicity, urls, variants
+from triagelake.llm import bpe, conversations, ctw, idfiles, jaccard, linededup, packing, quality, shards, topk, toxicity, urls, variants
 from triagelake.llm.common import fresh_path
 from triagelake.llm.tokens import vocabulary
 
@@ -65,6 +65,10 @@ def op11_bloom_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(variants.damaged_words(table(spark, sf_dir, "documents")), min_count=5, ratio=5)
 
 
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_branch_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), copies="copies")
 
@@ -73,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_feistel_shards, op2_bpe_tree, op3_toxicity, op4_jaccard_join, op5_exact_top_k,
-        op6_line_dedup, op7_id_files, op8_url_filter, op9_bin_slack_packing, op10_line_crf, op11_bloom_variants, op13_branch_repair,
+        op6_line_dedup, op7_id_files, op8_url_filter, op9_bin_slack_packing, op10_line_crf, op11_bloom_variants, op12_context_tree, op13_branch_repair,
     )
 }
 
