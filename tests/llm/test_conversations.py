@@ -148,6 +148,35 @@ def test_search_against_enumeration_and_recursion():
             assert [x[1:] for x in conv.applied(got[1], conv.START, iter([(*r, 0) for r in rows]))] == want[2]
 
 
+def test_search_between_any_roles():
+    rnd = random.Random(6)
+    roles = ["", "s", "u", "a"]
+    for _ in range(150):
+        flat = [(rnd.choice("suax"), rnd.choice([0, 0, 0, conv.BLANK, conv.TRUNCATED]), rnd.choice([0, 0, 0, 2])) for _ in range(rnd.randint(0, 7))]
+        for start in range(4):
+            least = {roles[start]: (0, "")}  # by role, over all prefixes of edits
+            for row in [*flat, None]:
+                for _ in range(2):  # rows put in
+                    for r, (c, a) in list(least.items()):
+                        to = {"": "u", "s": "u", "u": "a", "a": "u"}[r]
+                        least[to] = min(least.get(to, (999, "")), (c + 3, a + "I"))
+                if row is None:
+                    break
+                (initial, fault, extra), now = row, {}
+                for r, (c, a) in least.items():
+                    ways = [(r, 4, "D")]
+                    if fault != conv.BLANK:
+                        cut = 3 if fault == conv.TRUNCATED else 0
+                        ways.append(({"": "u", "s": "u", "u": "a", "a": "u"}[r], 3 + cut, "R"))
+                        if r + initial in ("s", "u", "su", "ua", "au"):
+                            ways.append((initial, cut, "K"))
+                    for to, cost, edit in ways:
+                        now[to] = min(now.get(to, (999, "")), (c + cost + 4 * extra, a + edit + "D" * extra))
+                least = now
+            for end in range(4):
+                assert conv.search(flat, start, frozenset({end})) == least.get(roles[end]), (flat, start, end)
+
+
 def test_search_of_many_rows_and_bounds_that_hold():
     rnd = random.Random(4)
     for n in (30, 120, 400):
@@ -160,7 +189,7 @@ def test_search_of_many_rows_and_bounds_that_hold():
         assert conv.Suffixes(flat, conv.WHOLE).bound(0, conv.START) <= want[0]
 
 
-@pytest.mark.parametrize("block_rows", [256, 3])
+@pytest.mark.parametrize("block_rows", [256, 64, 3])
 def test_repair_with_any_block_size(spark, block_rows):
     rows = some_rows(11, 60, 14) + [(None, None, "user", "Hi."), (None, 2, "assistant", "Yo."), (900, None, None, None)] * 3
     rows += [(901, i, ("user", "assistant")[i % 2], f"Long {i}" + "." * (i % 5 > 0)) for i in range(90) if i % 11]

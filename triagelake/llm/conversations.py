@@ -50,7 +50,7 @@ NEXT = (USER, USER, ASSISTANT, USER)
 AFTER = {"s": SYSTEM, "u": USER, "a": ASSISTANT}
 NAMES = ("", "system", "user", "assistant")
 LEGAL = {"su", "ua", "au"}
-WHOLE = frozenset({START, ASSISTANT})
+WHOLE, EARLY = frozenset({START, ASSISTANT}), frozenset({START, SYSTEM})
 LARGEST = 2**63 - 1
 
 
@@ -61,7 +61,7 @@ class Suffixes:
 
     def __init__(self, rows: list[tuple[str, int, int]], ends: frozenset[int]):
         n = len(rows)
-        self.ends, self.fixed, self.first = ends, [0] * (n + 1), [0] * (n + 1)
+        self.ends, self.fixed, self.first, self.gone = ends, [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         chain: list[tuple[str, int]] = []  # from the last: initial ('' if it can't stay) and the least further cost of changing it
         pairs = [0]  # by the number of rows in the chain: what its disjoint pairs cost at least
         self.pairs, self.chain = pairs, chain
@@ -71,6 +71,7 @@ class Suffixes:
             cut = fault == TRUNCATED
             base = DELETE if goes else min(DELETE, (0 if known else REROLE) + cut * CUT)
             self.fixed[i] = self.fixed[i + 1] + base + extra * DELETE
+            self.gone[i] = self.gone[i + 1] + (1 + extra) * DELETE
             if not goes:
                 change = min(DELETE, REROLE + cut * CUT) - base if known else 0
                 near = 0
@@ -84,6 +85,10 @@ class Suffixes:
             self.first[i] = len(chain)
 
     def bound(self, i: int, role: int) -> int:
+        if self.ends <= EARLY:  # before the first user: all goes, but for a system row
+            if role not in EARLY or not any(role <= end for end in self.ends):
+                return LARGEST
+            return self.gone[i] if role in self.ends else max(0, self.gone[i] - DELETE)
         k = self.first[i]
         if not k:
             return self.fixed[i] + (0 if role in self.ends else INSERT)
@@ -129,10 +134,11 @@ def search(rows: list[tuple[str, int, int]], role: int = START, ends: frozenset[
         i, at, cost, audit = stack.pop()
         if cost >= reached[i][at]:
             continue
-        if best is not None:
-            bound = cost + suffix.bound(i, at)
-            if bound > best[0] or bound == best[0] and audit > best[1][: len(audit)]:
-                continue
+        least = suffix.bound(i, at)
+        if least == LARGEST:
+            continue
+        if best is not None and (cost + least > best[0] or cost + least == best[0] and audit > best[1][: len(audit)]):
+            continue
         reached[i][at] = cost
         if i == n:
             if at in ends and (best is None or (cost, audit) < best):
@@ -464,7 +470,7 @@ def _parted(df: DataFrame, copies: str | None, block_rows: int) -> tuple[DataFra
     return sizes, _short(live.join(long, "conv", "left_anti")), _long(live.join(long, "conv", "left_semi"), block_rows)
 
 
-def repair(df: DataFrame, copies: str | None = None, block_rows: int = 256) -> DataFrame:
+def repair(df: DataFrame, copies: str | None = None, block_rows: int = 64) -> DataFrame:
     """RESULT for every conversation of ``df`` (conv_id, turn, role, text): the counts of
     what was wrong, the cost and audit of the edits, and the SHA-256 of the rows that
     they leave, ``role:text`` joined by line feeds.
@@ -481,7 +487,7 @@ def repair(df: DataFrame, copies: str | None = None, block_rows: int = 256) -> D
     return out.unionByName(none)
 
 
-def repaired_rows(df: DataFrame, copies: str | None = None, block_rows: int = 256) -> DataFrame:
+def repaired_rows(df: DataFrame, copies: str | None = None, block_rows: int = 64) -> DataFrame:
     """The repaired conversations: conv_id, place (from 0), role, text."""
     schema = "conv_id long, place long, role string, text string"
     _, short, long = _parted(df, copies, block_rows)
