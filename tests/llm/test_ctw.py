@@ -113,9 +113,10 @@ def test_parts_of_the_tables_change_nothing(spark, monkeypatch):
 
 def test_probabilities_sum_to_one_and_windows_cover_texts():
     bodies = [b"abcabd", b"", b"x" * 40, b"abc"]
-    grams = np.concatenate([g for _, g in ctw.windows(bodies, 4)])
-    plain = [w for b in bodies for w in [(b"\xff" * 4 + b + b"\xff")[i : i + 5] for i in range(len(b) + 1)]]
-    assert [int(g).to_bytes(5, "big") for g in grams] == plain
+    for d in (4, 5, 6):
+        grams = np.concatenate([g for _, g in ctw.windows(bodies, d)])
+        plain = [w for b in bodies for w in [(b"\xff" * d + b + b"\xff")[i : i + d + 1] for i in range(len(b) + 1)]]
+        assert [int(g).to_bytes(d + 1, "big") for g in grams] == plain
     tree = PlainTree(bodies, 4)
     for context in (b"\xffabc", b"xxxx", b"zzzz"):
         assert math.isclose(sum(math.exp(tree.ln_byte(context, b)) for b in range(256)), 1)

@@ -14,9 +14,9 @@ A probability depends on the last ``depth + 1`` bytes only, so everything is don
 each distinct gram of that many bytes: one pass over all texts counts grams (and words,
 for the unigram score beside it), tasks sum them, buckets of grams that share their last
 three context bytes build their part of the tree, and the three shallow levels are joined
-by Spark.  The table of grams goes to the tasks in parts of at most ``part_rows`` rows:
-where it is larger, texts are scored in several passes of which each adds its grams, so
-what is broadcast is bounded and no gram is left out.
+by Spark.  Tasks read the table of grams from the shared folder, in parts of about
+``part_rows`` rows: where it is larger, texts are scored in several passes of which each
+adds its grams, so what a task holds is bounded and no gram is left out.
 
 Words of the unigram score go by 64-bit hashes.  A null text is an empty one; repeated
 rows are scored each; a null id counts as the empty text for the fold.  Without training
@@ -29,22 +29,26 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from triagelake.llm.common import bound_batches, is_held_out, slices, stage_table
+from triagelake.llm.common import bound_batches, fresh_path, is_held_out, slices, stage_table
 from triagelake.llm.variants import mixed
 
 EDGE = b"\xff"
 #: Context bytes that all grams of one bucket's subtree share.
 SHARED = 3
-#: Windows that a task holds at once, entries of its counts, rows of a bucket, and of a table that is broadcast.
-WINDOWS, ENTRIES, BUCKET_ROWS, PART_ROWS = 4 << 20, 1 << 21, 1 << 18, 4 << 20
+#: Windows that a task holds at once, entries of its counts, rows of a bucket, and of a part of a table.
+WINDOWS, ENTRIES, BUCKET_ROWS, PART_ROWS = 4 << 20, 1 << 21, 1 << 18, 2 << 20
 GRAM, WORD = 0, 1
 END_WORD = b""
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -52,6 +56,15 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 # ---- windows and words of texts ----------------------------------------------
 
+def joined(part: np.ndarray, n: int) -> np.ndarray:
+    """Every ``n`` (5 to 7) bytes of ``part`` as one number, the first highest."""
+    two = (part[:-1].astype(np.uint16) << 8) | part[1:]
+    out = ((two[:-2].astype(np.uint32) << 16) | two[2:])[: len(part) - n + 1].astype(np.uint64)
+    if n >= 6:
+        out = (out << np.uint64(16)) | two[4 : 4 + len(out)]
+    return out if n == 6 else (out << np.uint64(8)) | part[n - 1 :]
+
+
 def windows(bodies: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, gram) of every byte and end of ``bodies``, at most WINDOWS at a time."""
     pad = EDGE * depth
@@ -64,9 +77,7 @@ def windows(bodies: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.nd
         own = owner[at : at + WINDOWS]
         low, high = starts[own[0]] + at - first[own[0]], starts[own[-1]] + at + len(own) - first[own[-1]]
         part = buffer[low : high + depth]
-        gram = np.zeros(high - low, np.uint64)
-        for j in range(depth + 1):
-            gram = (gram << np.uint64(8)) | part[j : j + len(gram)]
+        gram = joined(part, depth + 1)
         # windows that reach into the next text's edge go
         inside = np.ones(len(gram), bool)
         for next_text in range(own[0] + 1, own[-1] + 1):
@@ -111,10 +122,18 @@ def gather(df: DataFrame, depth: int) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words = Counts(), {True: Counter(), False: Counter()}
+        waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
 
         def drain(kind: int, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(sums)], names=["kind", "key", "n"])
 
+        def count_waiting() -> None:
+            for held, some in waiting.items():
+                if some:
+                    keys, sums = np.unique(np.concatenate(some), return_counts=True)
+                    grams.add(keys, np.zeros(len(keys), np.int64) if held else sums)
+                    some.clear()
+
         def drained_words() -> Iterator[pa.RecordBatch]:
             for held, counter in words.items():
                 keys = np.fromiter(map(xxhash.xxh3_64_intdigest, counter), np.uint64, len(counter))
@@ -127,18 +146,19 @@ def gather(df: DataFrame, depth: int) -> DataFrame:
                 held_out, bodies = part.column("held_out").to_pylist(), bytes_of(part.column("text"))
                 for held in (True, False):
                     own = [b for b, h in zip(bodies, held_out) if h == held]
-                    for _, gram in windows(own, depth):
-                        keys, sums = np.unique(gram, return_counts=True)
-                        grams.add(keys, np.zeros(len(keys), np.int64) if held else sums)
+                    waiting[held] += [gram for _, gram in windows(own, depth)]
                     words[held][END_WORD] += len(own)
                     for body in own:
                         for some in word_lists(body):
                             words[held].update(some)
+                if sum(map(len, [g for some in waiting.values() for g in some])) >= WINDOWS:
+                    count_waiting()
                 if len(grams.keys) > ENTRIES:
                     yield drain(GRAM, grams.keys, grams.sums)
                     grams = Counts()
                 if sum(map(len, words.values())) > ENTRIES // 4:
                     yield from drained_words()
+        count_waiting()
         yield drain(GRAM, grams.keys, grams.sums)
         yield from drained_words()
 
@@ -321,23 +341,36 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return mixed(keys) % np.uint64(parts)
 
 
-def _sent(table: DataFrame, value: str, parts: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """One part of a table of keys: about PART_ROWS rows, by the parts' number."""
-    spark = table.sparkSession
-
+def _dealt(table: DataFrame, value: str, parts: int) -> str:
+    """Writes key and ``value`` into the shared folder, in ``parts`` parts by the key."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            yield frame.filter(pa.array(_part_of(frame.column("key").to_numpy().view(np.uint64), parts) == part))
+            part = _part_of(frame.column("key").to_numpy().view(np.uint64), parts).astype(np.int32)
+            yield frame.append_column("part", pa.array(part))
 
     rows = table.select("key", value)
-    got = (rows if parts == 1 else rows.mapInArrow(run, rows.schema)).toArrow()
-    return spark.sparkContext.broadcast((got.column("key").to_numpy().view(np.uint64), got.column(value).to_numpy()))
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType())])
+    path = fresh_path(table.sparkSession, f"part-{value}")
+    rows.mapInArrow(run, schema).write.partitionBy("part").parquet(path)
+    return path
+
+
+@lru_cache(maxsize=2)
+def _part_table(path: str, value: str, part: int) -> Lookup:
+    """One part of such a table, of about PART_ROWS rows; a worker's tasks share it."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    selector = pafs.FileSelector(f"{root}/part={part}", allow_not_found=True)
+    files = [f.path for f in fs.get_file_info(selector) if f.base_name.endswith(".parquet")]
+    tables = [pq.read_table(f, filesystem=fs, columns=["key", value], partitioning=None) for f in files]
+    keys = [t.column("key").to_numpy().view(np.uint64) for t in tables]
+    values = [t.column(value).to_numpy() for t in tables]
+    return Lookup(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, float if value == "ln_p" else np.int64), *values]))
 
 
 PARTIAL = "n_bytes long, n_tokens long, n_known long, base_ln double, ln_p double"
 
 
-def _partial_scores(docs: DataFrame, keep: list[str], depth: int, grams, words, parts: tuple[int, int], part: tuple[int, int], n_train: int, n_distinct: int) -> DataFrame:
+def _partial_scores(docs: DataFrame, keep: list[str], depth: int, grams: str, words: str, parts: tuple[int, int], part: tuple[int, int], n_train: int, n_distinct: int) -> DataFrame:
     """What one part of the tables adds to each text's sums."""
     kept = docs.select(*keep).schema
     below = n_train + 0.1 * (n_distinct + 1)
@@ -346,7 +379,8 @@ def _partial_scores(docs: DataFrame, keep: list[str], depth: int, grams, words,
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_ln = count = None
         for frame in frames:
-            gram_ln, count = gram_ln or Lookup(*grams.value), count or Lookup(*words.value)
+            gram_ln = gram_ln or _part_table(grams, "ln_p", part[0])
+            count = count or _part_table(words, "n", part[1])
             for rows in slices(frame):
                 bodies = bytes_of(rows.column("text"))
                 n_tokens, n_known, base, ln_p = (np.zeros(len(bodies), t) for t in (np.int64, np.int64, float, float))
@@ -391,7 +425,7 @@ def _partial_scores(docs: DataFrame, keep: list[str], depth: int, grams, words,
     return docs.select(*keep, F.encode("text", "UTF-8").alias("text")).mapInArrow(run, f"{fields}, {PARTIAL}")
 
 
-def score_documents(df: DataFrame, depth: int = 6, folds: int = 10, key: str = "doc_id", text: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
+def score_documents(df: DataFrame, depth: int = 5, folds: int = 10, key: str = "doc_id", text: str = "text", part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and
     bits_per_byte of every row; fold 0 of the ids' CRC-32 is held out from training.
 
@@ -410,12 +444,11 @@ def score_documents(df: DataFrame, depth: int = 6, folds: int = 10, key: str = "
     keep, source = ["doc_id", "held_out"], docs
     if max(parts) > 1:  # sums of several passes meet by row
         source, keep = stage_table(spark, docs.withColumn("row", F.monotonically_increasing_id()), "rows"), [*keep, "row"]
+    gram_path, word_path = _dealt(grams, "ln_p", parts[0]), _dealt(words, "n", parts[1])
     out = None
     for k in range(max(parts)):
         part = (k if k < parts[0] else -1, k if k < parts[1] else -1)
-        gram_part = _sent(grams, "ln_p", parts[0], part[0])
-        word_part = _sent(words, "n", parts[1], part[1])
-        some = _partial_scores(source, keep, depth, gram_part, word_part, tuple(parts), part, n_train, n_distinct)
+        some = _partial_scores(source, keep, depth, gram_path, word_path, tuple(parts), part, n_train, n_distinct)
         out = some if out is None else out.unionByName(some)
     if max(parts) > 1:
         out = out.groupBy(*keep).agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"), *(F.sum(c).alias(c) for c in ("n_known", "base_ln", "ln_p")))
