@@ -63,10 +63,10 @@ def test_quota_applies_only_beyond_top_k(spark):
 
 
 def test_records(spark):
-    rows = [("g", 1, "c1", None, "text", "", "src", "0.8"), ("g", 2, "", "p2", "more", "t", "", "x"), ("g", 3, None, "", "third", None, None, None), ("g", 4, "c4", None, " 　", "t", "", "1")]
+    rows = [("g", 0, "c4", None, " 　", "t", "", "1"), ("g", 1, "c1", None, "text", "", "src", "0.8"), ("g", 2, "", "p2", "more", "t", "", "x"), ("g", 3, None, "", "third", None, None, None)]
     df = spark.createDataFrame(rows, "group string, arrival int, chunk_id string, point_id string, content string, title string, source_title string, score string")
     got = retrieval.normalise_records(df, {"g": "policy"}).orderBy("arrival").collect()
-    assert [(r.evidence_id, r.document_title, r.score, r.source_type) for r in got] == [("c1", "src", 0.8, "policy"), ("p2", "t", 0.0, "policy"), ("result-2", None, 0.0, "policy")]
+    assert [(r.evidence_id, r.document_title, r.score, r.source_type) for r in got] == [("c1", "src", 0.8, "policy"), ("p2", "t", 0.0, "policy"), ("result-3", None, 0.0, "policy")]
 
 
 def test_markdown_tree(spark, tmp_path):
@@ -163,3 +163,38 @@ def test_updates_of_one_key_and_lists(spark):
     lists = spark.createDataFrame(rows, "a array<int>, b array<int>, want boolean")
     assert lists.filter(entities.same_positions(F.col("a"), F.col("b")) == F.col("want")).count() == len(rows)
     assert [r.id for r in entities.with_title(df, "A", "x").collect()] == [1]
+
+
+def test_case_ids_of_records(spark):
+    schema = "group string, arrival int, chunk_id string, point_id string, content string, title string, source_title string, score string, category string, document_id long, source_case_id string, case_id string, source_record_id string, work_order_id long"
+    rows = [("h", 0, "c", None, "x", "t", "s", "1", "k", 5, None, "77", "88", 9), ("h", 1, "c2", None, "x", None, None, "1", "k", 6, None, None, None, None), ("n", 2, None, None, "x", "t", None, "1", "k", None, None, "", None, None)]
+    got = retrieval.normalise_records(spark.createDataFrame(rows, schema), {"h": "case"}).orderBy("arrival").collect()
+    assert [(r.full_id, r.document_title, r.external_id, r.source_id, r.case_id, r.work_order_id, r.source_type) for r in got] == [
+        ("h:c", "s", "77", "77", "77", "9", "case"), ("h:c2", "k", "c2", "6", None, None, "case"), ("n:result-2", "t", "result-2", "result-2", None, None, "other")]
+
+
+def test_groups_without_evidence(spark):
+    schema = "q string, pos int, evidence_id string, document_title string, source_title string, knowledge_base_id string, content string, source_type string, source_case_id string, case_id string"
+    pack = spark.createDataFrame([("a", 1, "E1", "t", None, "kb", "x", None, None, None)], schema)
+    got = {r.q: r.text for r in retrieval.evidence_text(pack, ["q"], spark.createDataFrame([("a",), ("b",)], "q string")).collect()}
+    assert got["b"] == retrieval.NOTHING_FOUND and got["a"].startswith("[E1]")
+
+
+def test_titles_threads_and_references(spark):
+    import datetime as dt
+
+    today = dt.datetime(2024, 1, 3)
+    rows = [(1, "50% off", today), (2, "5000 off", None), (3, None, today - dt.timedelta(hours=1)), (4, "New chat", today - dt.timedelta(days=3)), (5, "a_b", today + dt.timedelta(hours=1))]
+    df = spark.createDataFrame(rows, "place int, title string, last_at timestamp")
+    find = lambda word: sorted(r.place for r in entities.with_title(df, word).collect())
+    assert find("50%") == [1] and find(" OFF ") == [1, 2] and find("new chat") == [3, 4] and find("_") == [5] and find("") == [1, 2, 3, 4, 5] == find(None)
+    got = [(r.place, r.bucket) for r in entities.threads(df, None, F.lit(today)).collect()]
+    assert got == [(2, "Today"), (5, "Today"), (1, "Today"), (3, "Yesterday"), (4, "Earlier")]
+    assert [(r.place, r.bucket) for r in entities.threads(df.filter("place = 2 or last_at is null"), "off", F.lit(today)).collect()] == [(2, None)]
+    refs = spark.createDataFrame([(1, 10, "a1"), (2, 10, None), (3, 10, "a2"), (4, 11, "a9"), (5, 99, "a1"), (6, 10, "")], "id int, work_order_id int, analysis_id string")
+    orders, analyses = spark.createDataFrame([(10,), (11,)], "id int"), spark.createDataFrame([("a1", 10), ("a2", 11)], "id string, work_order_id int")
+    good, bad = entities.owned_references(refs, "work_order_id", "analysis_id", orders, "id", analyses, "id", "work_order_id")
+    assert sorted(r.id for r in good.collect()) == [1, 2, 6]
+    assert {r.id: r.reason for r in bad.collect()} == {3: "target belongs to another owner", 4: "target not found", 5: "owner not found"}
+    rows, missing = entities.known_ids(spark.createDataFrame([(4, 0), (9, 1), (1, 2)], "place int, n int").select(F.col("place").alias("k"), F.col("n").alias("place")), "k", df.select(F.col("place").alias("k"), "title"))
+    assert [r.k for r in rows.collect()] == [4, 1] and [r.k for r in missing.collect()] == [9]

@@ -116,7 +116,7 @@ def test_chunks_of_a_document(spark):
 
 def test_metadata_precedence(spark):
     text = "---\n标题: 甲\n来源: 一\n---\n**来源**：二\n**文号**：三\n【文号】\n四\n【日期】\n五\n"
-    got = spark.createDataFrame([(text,)], "t string").select(chunking.metadata(F.col("t")).alias("m")).first().m
+    got = spark.createDataFrame([(text,)], "t string").select("t", chunking.read_front(F.col("t")).alias("f")).select(chunking.metadata(F.col("t"), F.col("f")).alias("m")).first().m
     assert got == {"标题": "甲", "来源": "一", "文号": "三", "日期": "五"}
 
 
@@ -150,7 +150,63 @@ def test_chunk_file(spark):
     assert a[0].start == len(front) and text[a[1].start : a[1].end] == "## 二\n 正文"
     assert a[0].metadata == {"title": "甲法", "部门": "乙局", "title2": "", "电话": "123", "文号": "一号"}
     assert a[1].content == "文件：甲法\n类别：01\n章节：## 二\n## 二\n 正文"
-    assert got["01/b.md"][0].start == 0 and got["01/b.md"][0].title == "---" and got["01/c.md"][0].title == "c"
+    # a list is YAML: the block goes, it gives no metadata
+    assert got["01/b.md"][0].start == len("---\n- x\n---\n") and got["01/b.md"][0].title == "正文" and got["01/c.md"][0].title == "c"
     assert not {"01/d.md", "01/e.md"} & set(got)
     sha = hashlib.sha256(text.encode()).hexdigest()
     assert a[1].chunk_id == hashlib.sha256(f"01/a.md:{a[1].start}:{a[1].end}:{sha}".encode()).hexdigest()
+
+
+YAML_CASES = [
+    ("a: 1\nb: [x, 'y z', {k: v}]\nc:\n- p\n- q: 2\n  r: true\nd:\n  e:\n    f: null\n  g: 1.5", {"a": 1, "b": ["x", "y z", {"k": "v"}], "c": ["p", {"q": 2, "r": True}], "d": {"e": {"f": None}, "g": 1.5}}),
+    ("# note\ntitle: 甲 # behind\n'quoted: key': \"a\\n\\u4e59\"\n\nlink: http://x/y#z\ndate: 2024-01-05", {"title": "甲", "quoted: key": "a\n乙", "link": "http://x/y#z", "date": "2024-01-05"}),
+    ("a: |\n  one\n   two\n\n  three\nb: >-\n  fold\n  ed\nc: more\n  lines here", {"a": "one\n two\n\nthree\n", "b": "fold ed", "c": "more lines here"}),
+    ("tags:\n  - a\n  - - b\n    - c\n  -\n    k: v\nflow: {a: [1, 2],\n  b: ~}\nempty:", {"tags": ["a", ["b", "c"], {"k": "v"}], "flow": {"a": [1, 2], "b": None}, "empty": None}),
+    ("true: x\n3: y", {"true": "x", "3": "y"}),
+]
+
+
+def test_yaml_blocks():
+    import json
+
+    from triagelake.functions import yaml_block
+
+    for text, want in YAML_CASES:
+        assert json.loads(yaml_block.as_json(text)) == want, text
+    for text in ("- x", "only text", "", "# note", "a: &x 1\nb: *x", "a: !!str 1"):
+        assert yaml_block.as_json(text) == "{}", text
+    for text in ("a: b: c", "a: 'open", "a: [1, 2", "a:\n\tb: 1", "a: 1\n  b: 2", "a: 1\nfoo", "a: \"x\" y", "a: @x", "a: \"\\q\""):
+        assert yaml_block.as_json(text) is None, text
+
+
+def test_front_matter_of_documents(spark):
+    front = "---\ntitle: 甲\ntags:\n- a\n- b\nmap:\n  x: [1]\nnone:\n---\n"
+    texts = [("l.md", front + "# 头\n正文"), ("bad.md", "---\na: b: c\n---\n正文"), ("no.md", "正文"), ("none.md", None)]
+    docs = spark.createDataFrame([(p, "c", t) for p, t in texts], "source_path string, category string, text string")
+    got = {r.source_path: r for r in chunking.chunk_documents(docs).collect()}
+    assert got["l.md"].title == "甲" and got["l.md"].start == len(front) and got["l.md"].metadata == {"title": "甲", "tags": '["a","b"]', "map": '{"x":[1]}', "none": ""}
+    assert got["bad.md"].title == "---" and got["bad.md"].start == 0 and got["no.md"].title == "正文"
+    values = docs.select("source_path", chunking.read_front(F.col("text")).alias("f")).select("source_path", chunking.front_values(F.col("f")).alias("v"))
+    tags = values.select("source_path", F.expr("try_variant_get(v, '$.tags[1]', 'string')").alias("t"), F.expr("try_variant_get(v, '$.map.x[0]', 'int')").alias("x"))
+    assert {r.source_path: (r.t, r.x) for r in tags.collect()} == {"l.md": ("b", 1), "bad.md": (None, None), "no.md": (None, None), "none.md": (None, None)}
+
+
+def test_persist_keeps_the_last_and_summarises(spark):
+    rows = [("a", "局", None, [], "supported", [], ["E1"], [("甲", "负责 一"), ("甲", "二"), (None, "三"), ("乙", " ")])]
+    schema = "analysis_id string, department string, authority string, collaborators array<string>, status string, facts array<string>, refs array<string>, items array<struct<source: string, quote: string>>"
+    evidence = spark.createDataFrame([("a", "E1", 1, "old", "z"), ("a", "E1", 2, "new", "a")], "analysis_id string, evidence_id string, arrival int, content string, other string")
+    records, citations, _ = rules.persist(spark.createDataFrame(rows, schema), evidence)
+    assert [(r.content, r.other) for r in citations.collect()] == [("new", "a")]
+    assert records.first().evidence_summary == "“甲”负责：\n\n- 一\n- 二\n\n“职责来源”负责：\n\n- 三"
+
+
+def test_rendered_results(spark):
+    schema = "e array<struct<role: string, unit: string, value: string>>, d string, c double, s string, k string, b string, w string"
+    full = [("first_dispatch", "城管局", None), ("competent_authority", "水务局", None), ("collaborating", "街道", None), ("collaborating", None, "村"), ("decision_status", None, "supported"), ("missing_fact", None, "时间")]
+    df = spark.createDataFrame([(full, "x", 0.845, "依据", "结论", "边界", ""), ([], None, None, None, "结论", None, "风险")], schema)
+    got = [r.t for r in df.select(rules.rendered(*[F.col(c) for c in df.columns]).alias("t")).collect()]
+    assert got[0] == (
+        "【建议承办单位】\n建议首派：**城管局**\n业务主管：**水务局**\n协同单位：街道、村\n\n【决策状态】\nsupported\n\n【AI置信度】\n**85%**\n\n"
+        "【直接职责依据】\n依据\n\n【待核实条件】\n- 时间\n\n【研判说明】\n结论\n\n【责任边界】\n边界\n\n【使用提示】本意见仅供人工复核。")
+    assert "建议首派：**暂不确定**\n业务主管：**暂不确定**\n协同单位：无明确协同单位" in got[1] and "**0%**" in got[1] and "【待核实条件】\n- 无" in got[1]
+    assert "needs_fact_check" in got[1] and rules.NO_DUTY in got[1] and "【责任边界】" not in got[1] and "【风险提示】\n风险" in got[1]

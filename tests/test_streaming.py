@@ -46,3 +46,40 @@ def test_scanner_takes_pieces_of_any_size():
             out += scanner.feed(raw[at : at + size])
             scanner = fields.FieldScanner.load(scanner.dump())
         assert out == want and scanner.ended
+
+
+def test_scanner_is_linear_in_long_values():
+    import time
+
+    def seconds(n: int) -> float:
+        raw = '{"a": "' + 'x\\"' * (n // 3) + '", "b": [' + '{"c": "y"},' * (n // 11) + '1]}'
+        began, scanner, out = time.perf_counter(), fields.FieldScanner(), []
+        for at in range(0, len(raw), 4):
+            out += scanner.feed(raw[at : at + 4])
+        assert [k for k, _ in out] == ["a", "c", "b"] and scanner.ended
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 1 and seconds(320_000) < 8 * max(0.1, seconds(160_000))
+
+
+def test_scanner_drops_what_nothing_needs():
+    scanner = fields.FieldScanner()
+    for _ in range(1000):
+        scanner.feed('[{"a b": "some text that no field needs"}],')
+    assert sum(map(len, scanner.parts)) < 100
+
+
+def test_failed_sessions_give_nothing(spark, tmp_path):
+    rows = [("ok", 1, "field", "a", "1"), ("ok", 2, "field", "b", "2"), ("bad", 1, "field", "a", "9"), ("ok", 4, "done", None, None), ("ok", 3, "field", "a", "3"),
+            ("bad", 2, "error", None, "boom"), ("bad", 3, "field", "a", "8"), ("bad", 4, "done", None, None), ("open", 1, "field", "a", "7")]
+    schema = "session string, seq int, kind string, field string, value string"
+    for part in (rows[:3], rows[3:5], rows[5:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = fields.settled_events(stream).writeStream.format("memory").queryName("settled").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.session, r.kind, r.field, r.value) for r in spark.sql("select * from settled").collect()}
+    assert ("bad", "error", None, "boom") in got and ("bad", "field", "a", "8") in got and ("bad", "field", "a", "9") not in got
+    assert {r[2:] for r in got if r[0] == "ok"} <= {("a", "3"), ("a", "1"), ("b", "2")} and not any(r[0] == "open" for r in got)

@@ -76,9 +76,46 @@ def recency(last: Column, today: Column) -> Column:
     )
 
 
+UNTITLED = "New Chat"
+
+
 def with_title(df: DataFrame, word: str | None, title: str = "title") -> DataFrame:
-    """Rows whose title is like %word%, in any case."""
-    return keyword(df, word, [title])
+    """Rows whose title holds the trimmed word as it stands, in any case; a missing title
+    is ``New Chat``."""
+    wanted = (word or "").strip().lower()
+    return df.filter(F.contains(F.lower(F.coalesce(F.col(title), F.lit(UNTITLED))), F.lit(wanted))) if wanted else df
+
+
+def threads(df: DataFrame, word: str | None, today: Column, title: str = "title", last: str = "last_at", order: str = "place") -> DataFrame:
+    """Threads with that title, in order, with ``bucket``.  If none of them has a date they
+    stay in the input's order (``order``) and have no bucket; else the latest come first,
+    those without a date before them, and each belongs to Today, Yesterday or Earlier."""
+    found = with_title(df, word, title)
+    both = found.crossJoin(F.broadcast(found.agg((F.count(last) > 0).alias("_dated"))))  # one row
+    by_date = F.when(F.col("_dated"), F.col(last))
+    bucket = F.when(F.col("_dated"), recency(F.col(last), today))
+    return both.withColumn("bucket", bucket).orderBy(by_date.desc_nulls_first(), order).drop("_dated")
+
+
+def owned_references(refs: DataFrame, owner: str, ref: str, owners: DataFrame, owner_key: str, targets: DataFrame, target_key: str, target_owner: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with ``reason``): rows that name an owner and, if they like, a
+    target which has to exist and belong to that owner."""
+    o = owners.select(F.col(owner_key).alias("_owner")).distinct()
+    t = targets.select(F.col(target_key).alias("_target"), F.col(target_owner).alias("_of")).dropDuplicates(["_target"])
+    joined = refs.join(o, F.col(owner) == F.col("_owner"), "left").join(t, F.col(ref) == F.col("_target"), "left")
+    named = F.col(ref).isNotNull() & (F.col(ref).cast("string") != "")
+    reason = (
+        F.when(F.col("_owner").isNull(), "owner not found").when(named & F.col("_target").isNull(), "target not found")
+        .when(named & ~F.col("_of").eqNullSafe(F.col(owner)), "target belongs to another owner")
+    )
+    told = joined.withColumn("reason", reason)
+    return told.filter("reason is null").select(refs.columns), told.filter("reason is not null").select(*refs.columns, "reason")
+
+
+def known_ids(wanted: DataFrame, key: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the wanted ids in their order, ids that are not there); no ids, no rows."""
+    asked = wanted.select(F.col(key), "place")
+    return rows.join(asked, key).orderBy("place").drop("place"), asked.join(rows.select(key), key, "left_anti").select(key)
 
 
 def same_positions(a: Column, b: Column) -> Column:

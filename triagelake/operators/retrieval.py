@@ -34,6 +34,8 @@ EXPANSIONS = [
 ]
 # Fixed value: the title of a law that is no longer in force.
 REPEALED = "中华人民共和国环境噪声污染防治法"
+# Fixed value: the text of a request for which nothing was found.
+NOTHING_FOUND = "（本次未召回任何可用证据）"
 # The category whose chunks get their heading back, and the fields of a record's metadata.
 DUTIES = "01_机构职责"
 RECORD_FIELDS = (
@@ -50,19 +52,23 @@ def searchable() -> Column:
     return ~F.col("active").eqNullSafe(False) & ~F.col("document_header").eqNullSafe(True)
 
 
+def dense_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = None, salts: int | None = None) -> DataFrame:
+    """query_id, by, cid and score (cosine) of every pair, made once by an equality join
+    on a salt, so either side may be large (as many salts as the session has shuffle
+    partitions); lengths are computed before the pairs are made."""
+    by = by or []
+    salts = salts or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = hold(corpus.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(salts)).cast("int")), ["cid", *by, "salt", "v"], v_len=F.sqrt(dot(F.col("v"), F.col("v"))))
+    spread = hold(queries, ["query_id", "q"], q_len=F.sqrt(dot(F.col("q"), F.col("q")))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, "salt").select("query_id", *by, "cid", F.round(dot(F.col("q"), F.col("v")) / (F.col("q_len") * F.col("v_len")), 6).alias("score"))
+
+
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | None = None, salts: int | None = None) -> DataFrame:
     """queries: query_id, q (vector); corpus: cid, v.  query_id, cid, score and
     1-based rank of the k most similar (cosine), for each of ``by`` (columns of
-    corpus).  Every pair is made once, by an equality join on a salt, so either side
-    may be large (as many salts as the session has shuffle partitions); a side small
-    enough to be sent to all is chosen by the planner."""
-    by = by or []
-    salts = salts or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = corpus.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(salts)).cast("int"))
-    spread = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    norm = F.sqrt(dot(F.col("q"), F.col("q"))) * F.sqrt(dot(F.col("v"), F.col("v")))
-    scored = salted.join(spread, "salt").select("query_id", *by, "cid", F.round(dot(F.col("q"), F.col("v")) / norm, 6).alias("score"))
-    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "cid")
+    corpus).  A side small enough to be sent to all is chosen by the planner."""
+    scored = dense_scores(queries, corpus, by, salts)
+    w = Window.partitionBy("query_id", *(by or [])).orderBy(F.desc("score"), "cid")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -199,34 +205,44 @@ def evidence_pack(records: DataFrame, by: list[str], top_k: int, quota: int = 1)
     """records: by, evidence_id, arrival, group_no (place of the group in the
     request), score.  Each evidence once, at its best score; where more than
     ``top_k`` are left, first the best of each group in the request's order, then
-    the best of the rest."""
-    best = Window.partitionBy(*by, "evidence_id").orderBy(F.desc("score"), "arrival")
-    unique = records.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
+    the best of the rest.  Tasks keep one row an evidence before the shuffle, and
+    only the first ``top_k`` of a group, and of all, are ranked."""
+    others = [c for c in records.columns if c not in (*by, "evidence_id")]
+    first = F.min_by(F.struct(*others), F.struct((-F.col("score")).alias("s"), "arrival")).alias("_first")
+    unique = records.groupBy(*by, "evidence_id").agg(first).select(*by, "evidence_id", "_first.*")
+    n = unique.groupBy(*by).agg(F.count("*").alias("_n"))
     ranked = Window.partitionBy(*by, "group_no").orderBy(F.desc("score"), "arrival")
-    unique = unique.withColumns({
-        "_n": F.count("*").over(Window.partitionBy(*by)),
-        "_g": F.row_number().over(ranked),
-    })
+    # of a group no more than the first max(top_k, quota) can get in
+    heads = unique.withColumn("_g", F.row_number().over(ranked)).filter(F.col("_g") <= max(top_k, quota)).join(n, by)
     chosen = (F.col("_n") > top_k) & (F.col("_g") <= quota)
     order = Window.partitionBy(*by).orderBy(
         F.desc(chosen), F.when(chosen, F.col("group_no")), F.desc("score"), "arrival"
     )
-    return unique.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= top_k).drop("_n", "_g")
+    return heads.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= top_k).select(*records.columns, "pos")
 
 
 def normalise_records(records: DataFrame, groups: dict[str, str]) -> DataFrame:
-    """Raw records (group, chunk_id, point_id, content, title, source_title, score as
-    text, metadata map) as evidence: blank contents out, ids by fallback, scores
-    that are no number 0."""
-    filled = records.filter(squeeze(F.coalesce("content", F.lit(""))) != "")
-    w = Window.partitionBy("group").orderBy("arrival")
+    """Raw records (group, arrival: place in the group's answer from 0, chunk_id, point_id,
+    content, title, source_title, score as text; if there: category, document_id,
+    source_case_id, case_id, source_record_id, work_order_id) as evidence.
+
+    Records with blank content go, and the places of the others stay; ids and titles by
+    fallback, scores that are no number 0.  ``external_id`` and ``source_id``: the first
+    case id, else the chunk's or document's."""
+    def text(name: str) -> Column:
+        return F.nullif(F.col(name).cast("string"), F.lit("")) if name in records.columns else F.lit(None).cast("string")
+
     kinds = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
-    return filled.withColumn("_rn", F.row_number().over(w)).select(
-        "group", "arrival", "content",
-        F.coalesce(F.nullif("chunk_id", F.lit("")), F.nullif("point_id", F.lit("")), F.concat(F.lit("result-"), F.col("_rn") - 1)).alias("evidence_id"),
-        F.coalesce(F.nullif("title", F.lit("")), F.nullif("source_title", F.lit(""))).alias("document_title"),
+    point = F.coalesce(text("chunk_id"), text("point_id"), F.concat(F.lit("result-"), F.col("arrival").cast("string")))
+    case = F.coalesce(text("source_case_id"), text("case_id"), text("source_record_id"))
+    filled = records.filter(squeeze(F.coalesce("content", F.lit(""))) != "")
+    return filled.select(
+        "group", "arrival", "content", point.alias("evidence_id"), F.concat("group", F.lit(":"), point).alias("full_id"),
+        F.coalesce(text("source_title"), text("title"), text("category")).alias("document_title"), text("document_id").alias("document_id"),
         F.coalesce(F.expr("try_cast(score AS double)"), F.lit(0.0)).alias("score"),
-        kinds[F.col("group")].alias("source_type"),
+        F.coalesce(kinds[F.col("group")], F.lit("other")).alias("source_type"),
+        F.coalesce(case, point).alias("external_id"), F.coalesce(case, text("document_id"), point).alias("source_id"),
+        case.alias("case_id"), text("work_order_id").alias("work_order_id"),
     )
 
 
@@ -265,8 +281,8 @@ def as_records(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def evidence_text(evidence: DataFrame, by: list[str]) -> DataFrame:
-    """evidence: by, pos, evidence_id, document_title, source_title, knowledge_base_id,
+def evidence_text(evidence: DataFrame, by: list[str], groups: DataFrame | None = None) -> DataFrame:
+    """``groups``: all groups (by); those without evidence get ``NOTHING_FOUND``.  evidence: by, pos, evidence_id, document_title, source_title, knowledge_base_id,
     content, source_type, source_case_id, case_id.  One text of each group for a model:
     numbered blocks, without the marks that the records' contents carry."""
     case = first_filled(F.col("source_case_id"), F.col("case_id"))
@@ -279,4 +295,7 @@ def evidence_text(evidence: DataFrame, by: list[str]) -> DataFrame:
     parts = evidence.select(*by, F.struct("pos", block.alias("block")).alias("part"))
     # a pack has at most top_k blocks
     packed = parts.groupBy(*by).agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    return packed.select(*by, F.array_join(F.transform("parts", lambda x: x["block"]), "\n\n").alias("text"))
+    said = packed.select(*by, F.array_join(F.transform("parts", lambda x: x["block"]), "\n\n").alias("text"))
+    if groups is None:
+        return said
+    return groups.select(*by).distinct().join(said, by, "left").withColumn("text", F.coalesce("text", F.lit(NOTHING_FOUND)))

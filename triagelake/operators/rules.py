@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagelake.functions.text import contains_any, ordered_distinct, sentences, squeeze, strip
+from triagelake.functions.text import contains_any, first_filled, grouped_summary, ordered_distinct, sentences, squeeze, strip
 
 # Districts in the order of the context's first match, keywords of
 # other areas, and the districts in the order of the first rule.
@@ -235,14 +235,18 @@ def many(role: str, field: str, values: Column) -> Column:
 
 
 def persist(decisions: DataFrame, evidence: DataFrame, key: str = "analysis_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """decisions: key, department, authority, collaborators, status, facts, refs; evidence:
-    key, evidence_id and what is to be kept of it.
+    """decisions: key, department, authority, collaborators, status, facts, refs and, if
+    there, items (evidence cited: source, quote); evidence: key, evidence_id, what is to
+    be kept of it and, if there, arrival.
 
     (records, citations, rejected): decisions that cite evidence they did not have are
-    rejected with these ids; of the others, the record's role-tagged entries, and one
-    citation for each cited id in the order cited."""
+    rejected with these ids; of the others, the record's role-tagged entries with the
+    summary of its items, and one citation for each cited id in the order cited.  Of
+    several evidences of one id the last counts (by arrival; without one, the greatest)."""
     cited = decisions.select(key, F.posexplode("refs").alias("place", "evidence_id"))
-    known = evidence.dropDuplicates([key, "evidence_id"])
+    rest = [c for c in evidence.columns if c not in (key, "evidence_id")]
+    last = F.max_by(F.struct(*rest), F.struct(*(["arrival"] if "arrival" in rest else rest))).alias("_last")
+    known = evidence.groupBy(key, "evidence_id").agg(last).select(key, "evidence_id", "_last.*") if rest else evidence.distinct()
     unknown = cited.join(known.select(key, "evidence_id"), [key, "evidence_id"], "left_anti")
     # the ids that one decision cites
     rejected = unknown.groupBy(key).agg(F.array_sort(F.collect_set("evidence_id")).alias("unknown"))
@@ -252,4 +256,47 @@ def persist(decisions: DataFrame, evidence: DataFrame, key: str = "analysis_id")
         many("collaborating", "unit", F.col("collaborators")), entries("decision_status", "value", F.col("status")), many("missing_fact", "value", F.col("facts")),
     )
     citations = cited.join(good.select(key), key, "left_semi").join(known, [key, "evidence_id"])
-    return good.withColumn("recommended_departments", roles), citations, rejected
+    records = good.withColumn("recommended_departments", roles)
+    if "items" in decisions.columns:
+        records = records.withColumn("evidence_summary", grouped_summary(F.col("items")))
+    return records, citations, rejected
+
+
+# Texts of a rendered result.
+UNSURE, NO_PARTNER, NO_FACT = "暂不确定", "无明确协同单位", "- 无"
+NO_DUTY = "- 本次未召回可直接证明承办职责的原文依据；历史案例仅供内部参考，不作为直接职责依据展示。"
+FOR_REVIEW = "【使用提示】本意见仅供人工复核。"
+
+
+def rendered(entries: Column, department: Column, confidence: Column, summary: Column, conclusion: Column, boundary: Column, warning: Column) -> Column:
+    """A record as Markdown sections; ``entries``: array<struct<role, unit, value>>."""
+    def unit_of(role: str) -> Column:
+        return F.nullif(F.get(F.filter(entries, lambda e: e["role"] == role), 0)["unit"], F.lit(""))
+
+    def values_of(role: str) -> Column:
+        said = F.transform(F.filter(entries, lambda e: e["role"] == role), lambda e: first_filled(e["unit"], e["value"]))
+        return F.coalesce(F.array_compact(said), F.array().cast("array<string>"))
+
+    def bold(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{name}**"), value, F.lit("**"))
+
+    def section(name: str, value: Column, always: bool = True) -> Column:
+        lines = F.array(F.lit(""), F.lit(f"【{name}】"), value)
+        return lines if always else F.when(first_filled(value).isNotNull(), lines).otherwise(F.array().cast("array<string>"))
+
+    partners, facts = values_of("collaborating"), values_of("missing_fact")
+    status = F.nullif(F.get(F.filter(entries, lambda e: e["role"] == "decision_status"), 0)["value"], F.lit(""))
+    percent = F.floor(F.coalesce(confidence, F.lit(0.0)) * 100 + 0.5).cast("string")
+    asked = F.when(F.size(facts) > 0, F.array_join(F.transform(facts, lambda f: F.concat(F.lit("- "), f)), "\n")).otherwise(NO_FACT)
+    lines = F.concat(
+        F.array(
+            F.lit("【建议承办单位】"), bold("建议首派：", F.coalesce(unit_of("first_dispatch"), F.nullif(department, F.lit("")), F.lit(UNSURE))),
+            bold("业务主管：", F.coalesce(unit_of("competent_authority"), F.lit(UNSURE))),
+            F.concat(F.lit("协同单位："), F.when(F.size(partners) > 0, F.array_join(partners, "、")).otherwise(NO_PARTNER)),
+        ),
+        section("决策状态", F.coalesce(status, F.lit("needs_fact_check"))), section("AI置信度", bold("", F.concat(percent, F.lit("%")))),
+        section("直接职责依据", F.coalesce(F.nullif(summary, F.lit("")), F.lit(NO_DUTY))), section("待核实条件", asked),
+        section("研判说明", F.coalesce(conclusion, F.lit(""))), section("责任边界", boundary, False), section("风险提示", warning, False),
+        F.array(F.lit(""), F.lit(FOR_REVIEW)),
+    )
+    return F.array_join(lines, "\n")

@@ -224,7 +224,7 @@ def hybrid_search_by_category(spark, d):
 """)
 def evidence_dedup_quota(spark, d):
     salted = vectors(spark, d)
-    got = retrieval.dense_top_k(probes(spark, d).drop("sub"), salted.withColumnRenamed("label", "group_no"), 1 << 30, ["group_no"])
+    got = retrieval.dense_scores(probes(spark, d).drop("sub"), salted.withColumnRenamed("label", "group_no"), ["group_no"])
     records = got.select("query_id", "group_no", F.floor(F.col("cid") / 2).alias("evidence_id"), F.col("cid").alias("arrival"), "score")
     out = retrieval.evidence_pack(records, ["query_id"], 12)
     return out.select("query_id", "evidence_id", "group_no", "score", F.col("pos").cast("long"))

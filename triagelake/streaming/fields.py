@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: A whole string, a mark of structure, or a number or word.
-TOKEN = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+)', re.S)
+SOLID, STRING_MARK, WORD_END = re.compile(r"\S"), re.compile(r'["\\]'), re.compile(r'[\s{}\[\],:"]')
 FIELD = re.compile(r"[a-z_]+")
 OUTPUT = "session string, field string, value string"
 
@@ -27,73 +27,100 @@ class FieldScanner:
 
     ``open``: the containers around the place reached, as [bracket, key of its value,
     where the value begins]; ``done``: the value that ended last and waits for a comma
-    or a closing brace.  ``text`` is what is not read yet and what open values need."""
+    or a closing brace; ``token``: the string or word that is not ended yet, as [kind,
+    where it begins, whether its next character is escaped].  Places count from the
+    first character; ``parts`` are the pieces that open values still need, ``starts``
+    their places."""
 
     def __init__(self, known: set[str] | None = None):
-        self.text, self.at, self.open, self.key, self.done, self.known = "", 0, [], None, None, set(known or ())
+        self.parts, self.starts, self.size = [], [], 0
+        self.open, self.key, self.done, self.token, self.known = [], None, None, None, set(known or ())
 
     def feed(self, piece: str) -> list[tuple[str, str]]:
         """(key, value as JSON) of the fields that this piece completes."""
-        self.text += piece
-        out = []
-        while m := TOKEN.match(self.text, self.at):
-            token, start, end = m.group(1), m.start(1), m.end()
-            if token[0] not in '{}[],:"' and end == len(self.text):
-                break  # a number or word may go on
-            self.at = end
-            if token in "{[":
-                self.open.append([token, self.key, start])
-                self.key = None
-            elif token in "}],":
-                if self.done and token != "]":
-                    out += self._give(*self.done)
-                self.done = None
-                if token != "," and self.open:
-                    _, key, begin = self.open.pop()
-                    self.done = [key, begin, end]
-                self.key = None
-            elif token == ":":
-                if self.done and self.done[0] is None and self.open and self.open[-1][0] == "{":
-                    name = self.text[self.done[1] : self.done[2]]
-                    self.key = name[1:-1] if name[0] == '"' else None
-                self.done = None
+        base, at, out = self.size, 0, []
+        self.parts.append(piece)
+        self.starts.append(base)
+        self.size += len(piece)
+        while at < len(piece):
+            if self.token is None:
+                m = SOLID.search(piece, at)
+                if m is None:
+                    break
+                at = m.start()
+                if m[0] in "{}[],:":
+                    at += 1
+                    out += self._mark(m[0], base + at)
+                    continue
+                self.token = ["string" if m[0] == '"' else "word", base + at, False]
+                at += m[0] == '"'
+            elif self.token[2]:
+                self.token[2], at = False, at + 1
             else:
-                self.done, self.key = [self.key, start, end], None
+                m = (STRING_MARK if self.token[0] == "string" else WORD_END).search(piece, at)
+                if m is None:
+                    break  # it goes on in the next piece, from there
+                if m[0] == "\\" and self.token[0] == "string":
+                    self.token[2], at = True, m.end()
+                    continue
+                at = m.end() if self.token[0] == "string" else m.start()
+                self.done, self.key, self.token = [self.key, self.token[1], base + at], None, None
         self._forget()
         return out
 
+    def _mark(self, mark: str, end: int) -> list[tuple[str, str]]:
+        out = []
+        if mark in "{[":
+            self.open.append([mark, self.key, end - 1])
+            self.key = None
+        elif mark == ":":
+            if self.done and self.done[0] is None and self.open and self.open[-1][0] == "{":
+                name = self._text(self.done[1], self.done[2])
+                self.key = name[1:-1] if name[0] == '"' else None
+            self.done = None
+        else:
+            if self.done and mark != "]":
+                out = self._give(*self.done)
+            self.done, self.key = None, None
+            if mark != "," and self.open:
+                _, key, begin = self.open.pop()
+                self.done = [key, begin, end]
+        return out
+
     @property
     def ended(self) -> bool:
         """The outermost value is closed."""
         return not self.open and self.done is not None
 
+    def _text(self, start: int, end: int) -> str:
+        first, last = bisect_right(self.starts, start) - 1, bisect_left(self.starts, end)
+        return "".join(self.parts[first:last])[start - self.starts[first] : end - self.starts[first]]
+
     def _give(self, key: str | None, start: int, end: int) -> list[tuple[str, str]]:
         if key is None or key in self.known or not FIELD.fullmatch(key):
             return []
         try:
-            value = json.loads(self.text[start:end])
+            value = json.loads(self._text(start, end))
         except ValueError:
             return []
         self.known.add(key)
         return [(key, json.dumps(value, ensure_ascii=False))]
 
     def _forget(self) -> None:
-        needed = [x[2] for x in self.open if x[1] is not None] + ([self.done[1]] if self.done else [])
-        cut = min([self.at, *needed])
-        self.text, self.at = self.text[cut:], self.at - cut
-        for x in self.open:
-            x[2] -= cut
-        if self.done:
-            self.done[1:] = [self.done[1] - cut, self.done[2] - cut]
+        needed = [x[2] for x in self.open if x[1] is not None][:1] + [x[1] for x in (self.done, self.token) if x]
+        first = bisect_right(self.starts, min([self.size, *needed])) - 1
+        if first > 0 or not needed:
+            keep = first if needed else len(self.parts)
+            del self.parts[:keep], self.starts[:keep]
 
     def dump(self) -> str:
-        return json.dumps([self.text, self.at, self.open, self.key, self.done, sorted(self.known)])
+        return json.dumps([self.starts[:1], "".join(self.parts), self.size, self.open, self.key, self.done, self.token, sorted(self.known)])
 
     @classmethod
     def load(cls, state: str) -> FieldScanner:
         out = cls()
-        out.text, out.at, out.open, out.key, out.done, known = json.loads(state)
-        out.known = set(known)
+        out.starts, text, out.size, out.open, out.key, out.done, out.token, known = json.loads(state)
+        out.parts, out.known = [text] if out.starts else [], set(known)
         return out
 
 
@@ -131,6 +158,46 @@ def field_events(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return chunks.groupBy("session").applyInPandasWithState(step, OUTPUT, "scanner string", "append", timeout)
 
 
+def settled_events(events: DataFrame, end: str = "done", error: str = "error", idle_ms: int | None = None) -> DataFrame:
+    """Streaming events (session, seq, kind, field, value): fields are withheld in state
+    until their session's ``end`` event, which releases them in the order of seq, or its
+    ``error`` event, which drops them and gives one row of kind ``error``.  Fields behind
+    an end or error, and repeated ones (of a field the last stays, by seq), begin a new
+    answer of the session.  With ``idle_ms`` a session that stays silent so long is
+    rolled back as ``error`` with the value ``timeout``.
+
+    Rows: session, kind (field or error), field, value."""
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    columns = ["session", "kind", "field", "value"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], "error", None, "timeout")], columns=columns)
+            return
+        held: dict = json.loads(state.get[0]) if state.exists else {}
+        came, out = pd.concat(list(frames)).sort_values("seq", kind="stable"), []
+        for kind, field, value in zip(came["kind"], came["field"], came["value"]):
+            if kind == end:
+                out += [(key[0], "field", f, v) for f, v in held.items()]
+                held = {}
+            elif kind == error:
+                out.append((key[0], "error", None, value))
+                held = {}
+            else:
+                held.pop(field, None)
+                held[field] = value
+        if held:
+            state.update((json.dumps(held, ensure_ascii=False),))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=columns)
+
+    return events.groupBy("session").applyInPandasWithState(step, "session string, kind string, field string, value string", "held string", "append", timeout)
+
+
 def fold_events(events: DataFrame, order: str = "seq") -> DataFrame:
     """The last value of each (session, field)."""
     return events.groupBy("session", "field").agg(F.max_by("value", order).alias("value"))

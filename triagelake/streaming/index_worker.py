@@ -154,7 +154,7 @@ def run_round(store: SnapshotStore, now: Callable[[], Column], owner: str, embed
     p = Publish(store, on_step)
     # as committed: what this owner has just claimed
     mine = store.read("jobs", number).filter((F.col("status") == "running") & (F.col("lease_owner") == owner) & ~F.coalesce("cancel_requested", F.lit(False)))
-    made = payloads(p, mine, embed)
+    made = payloads(p, mine, embed).persist()  # read by what follows; made anew from the tables where it is lost
     counts = made.groupBy("job_id").agg(F.count("error").alias("_failed"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("item_id"))).alias("_error"))
     jobs = mine.join(counts, F.col("id") == F.col("job_id"), "left").drop("job_id").withColumns({
         "_failed": F.coalesce("_failed", F.lit(0)), "done": F.coalesce(F.col("_failed") == 0, F.lit(True)), "indexing": F.col("job_type").isin(*INDEXING),
@@ -168,6 +168,7 @@ def run_round(store: SnapshotStore, now: Callable[[], Column], owner: str, embed
     }).select(items.columns))
     finish(p, jobs, now())
     p.commit()
+    made.unpersist()
     on_step("finished")
     return True
 
