@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.text import trigram_terms
-from triagelake.operators import retrieval
+from triagelake.operators import lexical_index, retrieval
 from triagelake.plans.registry import Registry
 from triagelake.sources.tables import table
 
@@ -105,10 +105,10 @@ def asked_terms(spark, d):
 
 
 def lexical(spark, d, k):
+    """Ranked texts from a stored index of the documents: the texts are read to build it only."""
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("content"))
-    terms = asked_terms(spark, d)
-    _, dl = retrieval.postings(corpus)
-    return retrieval.bm25_top_k(terms, retrieval.term_hits(corpus, terms), dl, k)
+    index = lexical_index.build_index(corpus).staged()
+    return lexical_index.search(index, asked_terms(spark, d), k).select("query_id", "cid", "score", "rank")
 
 
 @query(f"WITH {BM25} SELECT item_id AS query_id, doc_id AS cid, score, rank FROM lex WHERE rank <= 10")
@@ -136,11 +136,8 @@ def bm25_weighted(spark, d):
     """Two fields (source as the title, text): chosen with both alike, scored with a title hit as two."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("source").alias("title"), "text")
     fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).alias("content")) for n, c in (("title", "title"), ("content", "text"))])
-    corpus = docs.select("cid", F.inline(fields))
-    terms = asked_terms(spark, d)
-    _, dl = retrieval.postings(corpus)
-    dl = dl.groupBy("cid").agg(F.sum("dl").alias("dl"))
-    got = retrieval.weighted_top_k(terms, retrieval.term_hits(corpus, terms, keep=["field"]), dl, {"title": 2.0, "content": 1.0}, 10)
+    index = lexical_index.build_index(docs.select("cid", F.inline(fields)), field="field").staged()
+    got = lexical_index.search(index, asked_terms(spark, d), 10, {"title": 2.0, "content": 1.0})
     return got.select("query_id", "cid", "plain", "score", F.col("rank").cast("long"))
 
 
