@@ -41,14 +41,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_staged: list[str] = []
+
+
 def stage_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     lets several later jobs read one result that survives lost executors."""
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_tables() -> list[str]:
+    """Paths of the tables staged so far and not dropped."""
+    return list(_staged)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables; nothing that reads them may be evaluated any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _staged.remove(path)
+
+
 def utf8(text: Column | str) -> Column:
     """UTF-8 bytes of a text; null counts as the empty text."""
     col = F.col(text) if isinstance(text, str) else text
