@@ -3,17 +3,21 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; ``run`` writes every stage's result as Parquet into the shared folder and
 gives it to the next.  All but the last return the columns of ``documents``.
+
+A stage's result must be written before the next stage begins: that one deletes the
+tables which the stages before it staged, unless its own input still reads them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm import jaccard, linededup, packing, quality, toxicity
-from triagelake.llm.common import fresh_path, stage_table
+from triagelake.llm.common import drop_tables, fresh_path, stage_table, staged_tables
 from triagelake.llm.tokens import vocabulary
 
 
@@ -66,12 +70,30 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+_of_stages: list[str] = []
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes what earlier stages staged."""
+    @wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        old = [p for p in _of_stages if p in staged_tables() and not any(p.split("/")[-1] in f for f in read)]
+        drop_tables(spark, old)
+        before = set(staged_tables())
+        out = stage(spark, docs, sf_dir)
+        _of_stages[:] = [p for p in _of_stages if p not in old] + [p for p in staged_tables() if p not in before]
+        return out
+
+    return begin
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", quality_rules),
-    ("toxicity", toxic_documents),
-    ("line_dedup", line_dedup),
-    ("near_duplicates", near_duplicates),
-    ("packing", pack_sequences),
+    ("quality", _tidy(quality_rules)),
+    ("toxicity", _tidy(toxic_documents)),
+    ("line_dedup", _tidy(line_dedup)),
+    ("near_duplicates", _tidy(near_duplicates)),
+    ("packing", _tidy(pack_sequences)),
 ]
 
 #: Trained models and tokenizers decide; tests hold the result against brute force.
