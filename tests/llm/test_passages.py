@@ -117,3 +117,17 @@ def test_columns_that_are_not_asked_for(spark):
         assert len(cleaned.select(*columns).collect()) == n
     assert len(queries.op6_line_dedup(spark, SF).collect()) == n
     assert len(corpus_pipeline.line_dedup(spark, docs, SF).select("doc_id").collect()) <= n
+
+
+def test_stages_delete_what_earlier_ones_staged(spark, tmp_path):
+    """A stage whose input was written drops the tables before it; one that still reads them does not."""
+    from triagelake.llm.common import staged_tables
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    stages = dict(corpus_pipeline.STAGES)
+    stages["line_dedup"](spark, docs, SF).write.parquet(f"{tmp_path}/a")
+    mine = set(staged_tables()) & set(corpus_pipeline._of_stages)
+    lazy = stages["near_duplicates"](spark, spark.read.parquet(f"{tmp_path}/a"), SF)
+    assert mine and not mine & set(staged_tables())
+    n = lazy.count()
+    assert stages["quality"](spark, lazy, SF).count() <= n and lazy.count() == n
