@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
@@ -45,6 +46,26 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    """Sums of more than 53 bits are exact; what 64 bits cannot hold is an error."""
+    rng = np.random.default_rng(6)
+    schema = "vec_id long, embedding array<double>"
+    rows = [(i * 50, [float(x) * 2.0**15 for x in rng.integers(-1000, 1000, 8)]) for i in range(1, 40)]
+    rows += [(100 * i + 7, [float(x) for x in rng.integers(-9, 9, 8) * 2.0**20]) for i in range(6)] + [(5000, rows[3][1])]
+    got = topk.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 100 == 0, k=4, scale=16.0)
+    clean = [(i, [math.floor(16.0 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, a in clean:
+        if q % 100 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in clean if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:4])]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and max(abs(r[3]) for r in want) > 2**56
+    for huge in (1e30, 1e18):
+        bad = spark.createDataFrame([(100, [huge, 1.0]), (200, [huge, 1.0])], schema)
+        with pytest.raises(Exception, match="2\\*\\*62|64 bits"):
+            topk.top_k(bad, F.col("vec_id") % 100 == 0, k=1, scale=1.0).collect()
+
+
 def test_queries_equal_sql(spark):
     for name, sql in queries.ORACLES.items():
         assert compare(spark, queries.QUERIES[name], sql, SF) == "", name

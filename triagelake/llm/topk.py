@@ -14,8 +14,9 @@ into m lists, each giving a local score (the inner product over its dimensions).
    list that has not collected it; where that bound reaches c, the exact sum is
    taken, and sums of c or more go to the final ranking.
 
-Sums are exact: floats hold them only if no sum can pass 2**53, else integers are
-used.  Vectors that are null or hold a null, NaN or infinity take no part; of
+Sums are exact: floats hold them only if no sum can pass 2**53, else 64-bit integers,
+and Python's where these could wrap.  A scaled component of 2**62 or more, and a
+reported score of more than 64 bits, is an error that says so.  Vectors that are null or hold a null, NaN or infinity take no part; of
 vectors of different lengths the shorter counts as filled up with zeros.
 Repeated rows take part each on its own; a query never meets rows of its own id.
 Only the two named columns are read.  An empty table gives an empty result.
@@ -41,8 +42,13 @@ def usable(vector: Column) -> Column:
 
 
 def to_integers(vector: Column, scale: float) -> Column:
-    """floor(scale * x) of each component, x as double."""
-    return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
+    """floor(scale * x) of each component, x as double; an error from 2**62 on."""
+    def one(x: Column) -> Column:
+        scaled = F.lit(scale) * x.cast("double")
+        too_large = F.raise_error(F.concat(F.lit("scaled component of 2**62 or more: "), scaled.cast("string"))).cast("long")
+        return F.when(F.abs(scaled) < 2.0**62, F.floor(scaled)).otherwise(too_large)
+
+    return F.transform(vector, one)
 
 
 def pack_blocks(df: DataFrame, rows: int) -> DataFrame:
@@ -85,11 +91,19 @@ def _matrices(q: np.ndarray, c: np.ndarray, n_lists: int):
     """Both with one width, in a type that holds every sum, and the lists' borders."""
     width = max(q.shape[1], c.shape[1])
     top = [int(np.abs(x).max()) if x.size else 0 for x in (q, c)]
-    kind = np.float64 if top[0] * top[1] * max(1, width) < 1 << 53 else np.int64
+    most = top[0] * top[1] * max(1, width)
+    kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
     q, c = (np.pad(x.astype(kind), ((0, 0), (0, width - x.shape[1]))) for x in (q, c))
     return q, c, np.linspace(0, width, n_lists + 1).astype(int)
 
 
+def as_longs(scores: np.ndarray) -> np.ndarray:
+    """Exact sums as 64-bit integers, or an error."""
+    if scores.dtype == object and any(abs(int(s)) >= 1 << 63 for s in scores):
+        raise OverflowError("a score needs more than 64 bits")
+    return scores.astype(np.int64)
+
+
 def local_scores(q, c, borders) -> np.ndarray:
     """lists x queries x candidates."""
     return np.stack([q[:, a:b] @ c[:, a:b].T for a, b in zip(borders[:-1], borders[1:])])
@@ -102,15 +116,15 @@ def phase_one(q_ids, q, c_ids, c, k: int, n_lists: int) -> Iterator[tuple[int, i
         scores = local_scores(q[lo : lo + 256], c, borders)
         own = q_ids[lo : lo + 256, None] == c_ids[None, :]
         total = scores.sum(axis=0)
-        lowest = np.iinfo(np.int64).min
-        scores = np.where(own[None], -np.inf if scores.dtype.kind == "f" else lowest, scores)
+        # floats choose the candidates; their sums are taken from ``total``
+        scores = np.where(own[None], -np.inf, scores.astype(float))
         top = min(k, len(c_ids))
         named = np.argpartition(scores, -top, axis=2)[:, :, -top:]
         for i in range(scores.shape[1]):
             who = np.unique(named[:, i])
             who = who[~own[i, who]]
             for s in np.sort(total[i, who])[::-1][:k]:
-                yield int(q_ids[lo + i]), int(s)
+                yield int(q_ids[lo + i]), str(int(s))
 
 
 def phases_two_and_three(q_ids, q, cutoffs, c_ids, c, n_lists: int) -> Iterator[pd.DataFrame]:
@@ -122,16 +136,18 @@ def phases_two_and_three(q_ids, q, cutoffs, c_ids, c, n_lists: int) -> Iterator[
         cut = np.where(known, np.nan_to_num(cutoffs[lo : lo + 256]), -np.inf)
         cut = np.where(np.abs(cut) < 2.0**53, cut, np.nextafter(cut, -np.inf))  # a float may have rounded it up
         share = np.nextafter(cut / n_lists, -np.inf)[:, None]
-        collected = scores >= share[None]
-        bound = np.where(collected, scores, share[None]).sum(axis=0)
+        near = scores.astype(float)  # of sums beyond 2**53 the bounds are rounded, the exact sums below are not
+        near = near if scores.dtype == np.float64 else np.nextafter(near, np.inf)
+        collected = near >= share[None]
+        bound = np.where(collected, near, share[None]).sum(axis=0)
         slack = 1e-6 * np.maximum(1.0, np.abs(np.where(known, cut, 0)))[:, None]  # the bound is rounded
         open_ = collected.any(axis=0) & (bound + slack >= cut[:, None])
         open_ &= q_ids[lo : lo + 256, None] != c_ids[None, :]
         i, j = np.nonzero(open_)
         exact = scores[:, i, j].sum(axis=0)
-        reach = exact >= cut[i]
+        reach = (exact >= cut[i]).astype(bool)
         i, j, exact = i[reach], j[reach], exact[reach]
-        yield pd.DataFrame({"query_id": q_ids[lo + i], "vec_id": c_ids[j], "score": exact.astype(np.int64)})
+        yield pd.DataFrame({"query_id": q_ids[lo + i], "vec_id": c_ids[j], "score": as_longs(exact)})
 
 
 def top_k(
@@ -165,9 +181,10 @@ def top_k(
                 q_ids, q, c_ids, c = read(r)
                 yield pd.DataFrame(phase_one(q_ids, q, c_ids, c, k, n_lists), columns=["query_id", "score"])
 
-    sums = meet(queries).mapInPandas(first, "query_id long, score long")
+    # as text, for sums that no long holds
+    sums = meet(queries).mapInPandas(first, "query_id long, score string").withColumn("score", F.col("score").cast("decimal(38,0)"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    cutoffs = sums.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k).select("query_id", F.col("score").alias("cutoff"))
+    cutoffs = sums.withColumn("n", F.row_number().over(best)).filter(F.col("n") == k).select("query_id", F.col("score").cast("double").alias("cutoff"))
     cutoffs = stage_table(spark, cutoffs, "cutoffs")
 
     # The cutoffs go with their query blocks to all candidate blocks.
