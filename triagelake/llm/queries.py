@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm import bpe, conversations, ctw, idfiles, jaccard, linededup, packing, quality, shards, topk, toxicity, urls, variants
+from triagelake.llm import bpe, conversations, ctw, idfiles, jaccard, linededup, oracles, packing, quality, shards, topk, toxicity, urls, variants
 from triagelake.llm.common import fresh_path
 from triagelake.llm.tokens import vocabulary
 
@@ -82,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op11_bloom_variants": oracles.VARIANTS,
+    "op13_branch_repair": oracles.REPAIRS,
     "op5_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
