@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from triagelake.operators import quality
+from triagelake.operators import masters, quality
 from triagelake.plans.registry import Registry
 from triagelake.sources.tables import changed_files, table
 
@@ -156,3 +156,16 @@ def department_master(spark, d):
     c = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat_ws("-", "n_name", "c_name"), F.lit("customer"))
     rows = s.union(c).union(n.select("n_name", F.lit("nation"))).union(n.select("n_name", F.lit("master")))
     return rows.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("sources"))
+
+
+@query("""
+    WITH n AS (SELECT doc_id, source || ['__拆分', '_行政处罚', '_行政许可__拆分', '_行政检查_行政确认', '', '_x'][doc_id % 6 + 1] AS name FROM documents)
+    SELECT doc_id, regexp_replace(name, '(__拆分|_行政处罚|_行政许可|_行政强制|_行政检查|_行政确认|_行政裁决|_其他行政权力)$', '') AS one,
+           regexp_replace(regexp_replace(name, '__拆分$', ''), '(__拆分|_行政处罚|_行政许可|_行政强制|_行政检查|_行政确认|_行政裁决|_其他行政权力)$', '') AS nested
+    FROM n
+""")
+def suffix_strip(spark, d):
+    """Names of assets by both rules: one ending off, or the outer one and then another."""
+    endings = F.array(*[F.lit(x) for x in ("__拆分", "_行政处罚", "_行政许可__拆分", "_行政检查_行政确认", "", "_x")])
+    named = table(spark, d, "documents").select("doc_id", F.concat("source", F.get(endings, (F.col("doc_id") % 6).cast("int"))).alias("name"))
+    return named.select("doc_id", masters.without_one(F.col("name")).alias("one"), masters.without_nested(F.col("name")).alias("nested"))

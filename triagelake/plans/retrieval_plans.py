@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.text import trigram_terms
-from triagelake.operators import lexical_index, retrieval
+from triagelake.operators import lexical_index, retrieval, vector_cells
 from triagelake.plans.registry import Registry
 from triagelake.sources.tables import table
 
@@ -83,6 +83,17 @@ def dense_topk_filtered(spark, d):
     return got.select("query_id", "label", "cid", "score", F.col("rank").cast("long"))
 
 
+@query(f"""
+    WITH {VECTORS}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS cid, {COSINE} AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.label < 5)
+    SELECT query_id, cid, score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cid) AS rank FROM s) WHERE rank <= 8
+""")
+def dense_cells_filtered(spark, d):
+    """Exact top 8 among some labels from an index of cells, which bounds leave out."""
+    index = vector_cells.build_cells(vectors(spark, d), keep=["label"])
+    got = vector_cells.search_cells(index, probes(spark, d).drop("sub"), 8, F.col("label") < 5)
+    return got.select("query_id", "cid", "score", F.col("rank").cast("long"))
+
+
 @query(f"WITH {GRAMS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY term")
 def trigram_postings(spark, d):
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("cid"), F.col("text").alias("content"))

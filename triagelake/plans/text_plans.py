@@ -208,3 +208,20 @@ def hash_embedding(spark, d):
     """The deterministic stand-in for an embedding model."""
     rows = table(spark, d, "documents").select("doc_id", T.hash_vector(F.col("text")).alias("v"))
     return rows.select("doc_id", F.round(F.get("v", 0), 6).alias("first"), F.round(F.get("v", 31), 6).alias("last"))
+
+
+@query("""
+    SELECT doc_id, 'T' || doc_id AS title, '["' || lang || '","' || source || '"]' AS tags, CASE doc_id % 2 WHEN 0 THEN '{"k":' || doc_id || '}' ELSE '' END AS more,
+           length('---\ntitle: T' || doc_id || ' # note\ntags:\n- ' || lang || '\n- ' || source || '\nmore:\n' || CASE doc_id % 2 WHEN 0 THEN '  k: ' || doc_id || '\n' ELSE '' END || '---\n') AS shift
+    FROM documents WHERE doc_id % 5 <> 0
+    UNION ALL SELECT doc_id, NULL, NULL, NULL, 0 FROM documents WHERE doc_id % 5 = 0
+""")
+def front_matter_blocks(spark, d):
+    """Lists and maps in front matter; a block that is no YAML stays text."""
+    n = F.col("doc_id").cast("string")
+    good = F.concat(F.lit("---\ntitle: T"), n, F.lit(" # note\ntags:\n- "), "lang", F.lit("\n- "), "source", F.lit("\nmore:\n"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  k: "), n, F.lit("\n"))).otherwise(""), F.lit("---\n"))
+    front = F.when(F.col("doc_id") % 5 != 0, good).otherwise(F.lit("---\na: b: c\n---\n"))
+    docs = table(spark, d, "documents").select("doc_id", chunking.read_front(F.concat(front, F.coalesce("text", F.lit("")))).alias("front"))
+    values = T.hold(docs, ["doc_id", "front"], m=chunking.front_matter(F.col("front")))
+    field = lambda k: F.try_element_at("m", F.lit(k)).alias(k)
+    return values.select("doc_id", field("title"), field("tags"), field("more"), F.col("front.length").cast("long").alias("shift"))
