@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions.text import squeeze, strip
+from triagelake.operators import multi_match
 
+# Fixed value: what garbled text looks like.
 GARBLED = "[ꎬ�]|锟斤拷|烫烫烫"
 
 
@@ -85,27 +87,22 @@ def duplicates(df: DataFrame, key: Column, order: Column) -> DataFrame:
     return df.groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
 
 
-def containment_match(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
+def containment_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """left: lid, lname; right: rid, rname.  For each left name the right one that
     equals it, contains it or lies in it: equal first, then the longest, then by
-    name and id.  Names meet on their first or any ``gram`` characters, so no pair
-    is made that shares none; shorter names meet through their own length."""
-    def heads(name: str) -> Column:
-        return F.left(F.col(name), F.lit(gram))
-
-    def grams(name: str) -> Column:
-        n = F.length(name)
-        windows = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(F.col(name), i, F.lit(gram)))
-        shorter = [F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i, k=k: F.substr(F.col(name), i, F.lit(k))) for k in range(1, gram)]
-        return F.explode(F.array_distinct(F.concat(windows, *shorter)))
-
+    name and id.  Both ways by automata, so each name is read once for each part of
+    the others, and short names are no hot keys."""
     left, right = left.filter(F.length("lname") > 0), right.filter(F.length("rname") > 0)
-    in_left = left.select("lid", "lname", grams("lname").alias("g")).join(right.withColumn("g", heads("rname")), "g").filter(F.col("lname").contains(F.col("rname")))
-    in_right = right.select("rid", "rname", grams("rname").alias("g")).join(left.withColumn("g", heads("lname")), "g").filter(F.col("rname").contains(F.col("lname")))
-    columns = ["lid", "lname", "rid", "rname"]
-    pairs = in_left.select(columns).unionByName(in_right.select(columns))
-    order = F.struct((F.col("rname") != F.col("lname")).alias("e"), (-F.length("rname")).alias("n"), F.col("rname").alias("rname"), F.col("rid").alias("rid"))
-    return pairs.groupBy("lid").agg(F.min(order).alias("m")).select("lid", F.col("m.rid").alias("rid"), F.col("m.rname").alias("rname"), (~F.col("m.e")).alias("is_exact"))
+    texts, names = left.select(F.col("lid").alias("tid"), F.col("lname").alias("tname")), right.select(F.col("rid").alias("pid"), F.col("rname").alias("pname"))
+    inside = multi_match.longest_pattern(texts, names).select(F.col("tid").alias("lid"), F.col("pid").alias("rid"), F.col("pname").alias("rname"))
+    texts, names = right.select(F.col("rid").alias("tid"), F.col("rname").alias("tname")), left.select(F.col("lid").alias("pid"), F.col("lname").alias("pname"))
+    around = multi_match.longest_text(names, texts).select(F.col("pid").alias("lid"), F.col("tid").alias("rid"), F.col("tname").alias("rname"))
+    # the equal one need not be the longest: it is joined by itself
+    same = left.join(right, F.col("lname") == F.col("rname")).groupBy("lid").agg(F.min(F.struct("rname", "rid")).alias("m")).select("lid", F.col("m.rid").alias("rid"), F.col("m.rname").alias("rname"))
+    pairs = inside.withColumn("e", F.lit(True)).unionByName(around.withColumn("e", F.lit(True))).unionByName(same.withColumn("e", F.lit(False)))
+    order = F.struct("e", (-F.length("rname")).alias("n"), "rname", "rid")
+    best = pairs.groupBy("lid").agg(F.min(order).alias("m"))
+    return best.select("lid", F.col("m.rid").alias("rid"), F.col("m.rname").alias("rname"), (~F.col("m.e")).alias("is_exact"))
 
 
 def compare_snapshots(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,16 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def relative_path(root: str) -> Column:
+    """``path`` of the binary file source below ``root``, without its escapes."""
+    base = root.rstrip("/").split("://")[-1] + "/"
+    relative = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
+    return F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B")))
+
+
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """source_path (relative), category (first folder), sha256 of the raw bytes,
     n_bytes and text (UTF-8, without a byte order mark) of every ``*.md`` below root."""
-    base = root.rstrip("/") + "/"
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     )
-    relative = F.regexp_replace(F.substring_index("path", base.split("://")[-1], -1), "^/+", "")
     return files.select(
-        F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))).alias("source_path"),
+        relative_path(root).alias("source_path"),
         F.sha2("content", 256).alias("sha256"),
         F.col("length").alias("n_bytes"),
         F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("text"),
