@@ -1,5 +1,6 @@
 """Publishing of several tables at once, and the index worker that may die at any step."""
 
+import collections
 import datetime as dt
 import hashlib
 
@@ -13,6 +14,15 @@ from triagelake.streaming import index_worker as worker
 NOW = dt.datetime(2024, 1, 15, 12)
 
 
+@pytest.fixture(autouse=True)
+def few_tasks(spark):
+    """The tables here have a handful of rows."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_publish_is_all_or_nothing(spark, tmp_path):
     store = SnapshotStore(spark, f"file://{tmp_path}/s")
     with store.publish() as p:
@@ -97,24 +107,24 @@ def state(store: SnapshotStore) -> dict:
     return out
 
 
-def run(spark, root, kill: str | None = None, at: int = 0) -> SnapshotStore:
-    """All batches; dies once at the ``at``-th step named ``kill`` and begins that batch again."""
-    store, clock, seen = seed(spark, root), [NOW], [0]
+def run(spark, root, kills: dict[str, int] = {}) -> SnapshotStore:
+    """All batches; dies once at each step of ``kills``, when it comes that often, and begins that batch again."""
+    store, clock, seen = seed(spark, root), [NOW], collections.Counter()
 
     def on_step(step: str) -> None:
-        if step == kill:
-            seen[0] += 1
-            if seen[0] == at:
-                raise RuntimeError(step)
+        seen[step] += 1
+        if seen[step] == kills.get(step):
+            raise RuntimeError(step)
 
     for number, rows in enumerate(BATCHES):
         df = spark.createDataFrame(rows, worker.REQUEST)
         for _ in range(2 - number):  # the first batch comes twice
-            try:
-                worker.process_batch(store, df, number, now=lambda: F.lit(clock[0]), on_step=on_step)
-            except RuntimeError:
-                clock[0] += dt.timedelta(minutes=6)
-                worker.process_batch(store, df, number, now=lambda: F.lit(clock[0]), on_step=on_step)
+            for _ in range(1 + len(kills)):
+                try:
+                    worker.process_batch(store, df, number, now=lambda: F.lit(clock[0]), on_step=on_step)
+                    break
+                except RuntimeError:
+                    clock[0] += dt.timedelta(minutes=6)
         clock[0] += dt.timedelta(minutes=1)
     return store
 
@@ -135,8 +145,8 @@ def test_worker_and_its_restarts(spark, tmp_path):
     assert lexical["211"]["point_id"] == hashlib.sha256(b"kb:211").hexdigest() and lexical["211"]["title"] == "T2" and lexical["211"]["section"] == "h1"
     assert {r["chunk_id"] for r in store.read("vectors").collect()} == set(lexical)
     assert sorted(r["job_id"] for r in store.read("log").collect()) == [1, 1, 3, 4, 5, 7, 10]
-    for number, (kill, at) in enumerate([("claimed", 2), ("write log", 1)]):
-        assert state(run(spark, f"file://{tmp_path}/{number}", kill, at)) == want, kill
+    killed = run(spark, f"file://{tmp_path}/killed", {"received": 1, "claimed": 2, "write vectors": 2, "write log": 2, "finished": 3})
+    assert state(killed) == want
 
 
 def test_worker_as_a_stream(spark, tmp_path):

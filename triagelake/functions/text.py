@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"(?U)\s"
 
@@ -48,6 +51,22 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, rf"{SPACE}+", "")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def starts_of(sizes: pd.Series) -> pd.Series:
+    """Of each array of sizes where its parts begin, one character apart: only sizes go to Python."""
+    return sizes.map(lambda x: None if x is None else np.concatenate([[0], np.cumsum(np.asarray(x, np.int64) + 1)])[: len(x)])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def last_true(flags: pd.Series) -> pd.Series:
+    """Of each array of flags, at every place the last place so far with a true one, or -1."""
+    def places(x: np.ndarray) -> np.ndarray:
+        known = np.array([v is not None and bool(v) for v in x], bool)
+        return np.maximum.accumulate(np.where(known, np.arange(len(x)), -1)).astype(np.int32)
+
+    return flags.map(lambda x: None if x is None else places(x))
+
+
 def blank(c: Column) -> Column:
     return F.coalesce(strip(c) == "", F.lit(True))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import text as T
@@ -66,12 +65,12 @@ def chunk_documents(spark, d):
     SELECT doc_id, n AS ordinal, CAST(start AS BIGINT) AS start, CAST(lead(start) OVER (PARTITION BY doc_id ORDER BY n) AS BIGINT) AS next_start, length(line) AS n_chars FROM p
 """)
 def chunk_lines(spark, d):
-    """Boundaries of lines, each with the next: adjacent pairs."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    docs = docs.select("doc_id", "n", F.length("line").cast("long").alias("n_chars"))  # lines stay, sizes move
-    by = Window.partitionBy("doc_id").orderBy("n")
-    rows = docs.withColumn("start", F.sum(F.col("n_chars") + 1).over(by) - F.col("n_chars") - 1)
-    return rows.select("doc_id", (F.col("n") + 1).cast("long").alias("ordinal"), "start", F.lead("start").over(by).alias("next_start"), "n_chars")
+    """Boundaries of lines, each with the next: adjacent pairs, within the row."""
+    sizes = F.transform(F.split("text", "\n"), lambda x: F.length(x).cast("long"))
+    docs = T.hold(table(spark, d, "documents"), ["doc_id"], sizes=sizes).select("doc_id", "sizes", T.starts_of("sizes").alias("starts"))
+    pairs = F.zip_with("starts", "sizes", lambda s, n: F.struct(s.alias("start"), n.alias("n_chars")))
+    lines = docs.select("doc_id", "starts", F.posexplode(pairs).alias("n", "p"))
+    return lines.select("doc_id", (F.col("n") + 1).cast("long").alias("ordinal"), "p.start", F.get("starts", F.col("n") + 1).alias("next_start"), "p.n_chars")
 
 
 @query("""
@@ -79,11 +78,11 @@ def chunk_lines(spark, d):
     SELECT doc_id, n AS ordinal, last_value(CASE WHEN length(line) < 60 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS heading FROM l
 """)
 def heading_restore(spark, d):
-    """The nearest heading (here: a short line) at or before each line."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.last(F.when(F.length("line") < 60, F.col("line")), ignorenulls=True).over(w)
-    return rows.select("doc_id", (F.col("n") + 1).cast("long").alias("ordinal"), heading.alias("heading"))
+    """The nearest heading (here: a short line) at or before each line, within the row."""
+    docs = T.hold(table(spark, d, "documents"), ["doc_id"], lines=F.split("text", "\n"))
+    marked = docs.select("doc_id", "lines", T.last_true(F.transform("lines", lambda x: F.length(x) < 60)).alias("at"))
+    headings = F.transform("at", lambda i: F.when(i >= 0, F.get("lines", i)))
+    return marked.select("doc_id", F.posexplode(headings).alias("n", "heading")).select("doc_id", (F.col("n") + 1).cast("long").alias("ordinal"), "heading")
 
 
 @query("""
