@@ -293,9 +293,14 @@ def search(
     score and rank of the k best by ``plain`` (all fields alike; ties to the smaller id);
     ``score`` counts hits by the ``weights`` of their fields, and is ``plain`` without
     them.  ``skipped`` receives the number of (query, block) pairs with hits, and of those scored."""
-    dealt = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-query_terms.select("query_id").distinct().count() // query_group)))).cast("int")
+    groups = max(1, -(-query_terms.select("query_id").distinct().count() // query_group))
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
     terms = staged(query_terms.select("query_id", "term", dealt.alias("query_group")), "terms")
-    hits = staged(term_hits(index, terms.select("query_group", "term"), weights), "hits")
+    # with a row without a term for the texts of each block
+    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("query_group")
+    texts = index.sizes.select(each, "block", "cids", "dls")
+    found = staged(term_hits(index, terms.select("query_group", "term"), weights).unionByName(texts, allowMissingColumns=True), "hits")
+    hits = found.filter("term is not null")
     frequency = hits.groupBy("query_group", "term").agg(F.sum("n").alias("df"))
     stats = index.stats()  # one row
     asked = staged(terms.join(frequency, ["query_group", "term"]).crossJoin(F.broadcast(stats)).select(
@@ -307,9 +312,7 @@ def search(
 
     def scored(picked: DataFrame) -> DataFrame:
         blocks = picked.select("query_group", "block").distinct()
-        texts = index.sizes.join(blocks, "block").select("query_group", "block", "cids", "dls")
-        rows = hits.join(blocks, ["query_group", "block"], "left_semi").select("query_group", "block", "term", "docs", "tfs", "heavy")
-        both = rows.unionByName(texts, allowMissingColumns=True)
+        both = found.join(blocks, ["query_group", "block"], "left_semi").select("query_group", "block", "term", "docs", "tfs", "heavy", "cids", "dls")
         mine = asked.join(picked.select("query_id", "block"), "query_id").select(*[F.col(c).alias(c) for c in ("query_id", "query_group", "block", "term", "idf", "avgdl")])
         return both.groupBy("query_group", "block").cogroup(mine.groupBy("query_group", "block")).applyInArrow(_rank(k, k1, b, arrow), schema)
 
