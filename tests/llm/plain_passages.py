@@ -74,3 +74,17 @@ def clean(rows, runs):
     return [
         (k, t if not gone[d] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])) for d, (k, t) in enumerate(rows)
     ]
+
+
+def neighbour_lines_that_go(texts):
+    """(text, line) of two neighbouring lines with words that an earlier place has side by side
+    (one that overlaps the first place is none), and of the wordless lines behind each."""
+    first, gone = {}, set()
+    for d, text in enumerate(texts):
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if words(x)]
+        for i in range(len(at) - 1):
+            was, place = first.setdefault((lines[at[i]], lines[at[i + 1]]), (d, i))
+            if was != d or i > place + 1:
+                gone |= {(d, j) for j in range(at[i], [*at, len(lines)][i + 2])}
+    return gone

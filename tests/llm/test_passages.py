@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from plain_passages import clean
+from plain_passages import clean, neighbour_lines_that_go
 from triagelake.llm import linededup, queries
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +131,62 @@ def test_stages_delete_what_earlier_ones_staged(spark, tmp_path):
     assert mine and not mine & set(staged_tables())
     n = lazy.count()
     assert stages["quality"](spark, lazy, SF).count() <= n and lazy.count() == n
+
+
+def check_chunks(spark, texts, **bits):
+    """The texts as a plain loop over all neighbouring lines leaves them."""
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    gone = neighbour_lines_that_go(texts)
+    got = {r.doc_id: r for r in linededup.dedup_chunks(made, **bits).collect()}
+    assert len(got) == len(texts)
+    for d, text in enumerate(texts):
+        lines = text.split("\n")
+        left = [x for i, x in enumerate(lines) if (d, i) not in gone]
+        assert (got[d].text, got[d].n_lines, got[d].n_removed) == ("\n".join(left), len(lines), len(lines) - len(left)), d
+    return {d: r.text for d, r in got.items()}
+
+
+def test_chunks_against_all_neighbours(spark):
+    rnd = random.Random(8)
+    pool = [" ".join(f"p{i}x{j}" for j in range(rnd.choice([1, 5, 12, 49, 60]))) for i in range(30)] + ["", "  "]
+    texts = ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 12))) for _ in range(60)]
+    texts += ["a a\na a\na a\na a\na a", "", "\n", "\n \n" + texts[0] + "\n\n", texts[1]]
+    check_chunks(spark, texts)
+    check_chunks(spark, texts, hash_bits=6)  # most hashes belong to several pairs of lines
+    check_chunks(spark, [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()])
+
+
+def test_chunks_know_no_number_of_words(spark):
+    """A repeated line of 49 and one of 50 words fare alike, alone and with a neighbour."""
+    rnd = random.Random(9)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    for n in (1, 49, 50, 200):
+        one, two = line(n), line(n)
+        alone = check_chunks(spark, [f"{line(6)}\n{one}\n{line(6)}" for _ in range(3)])
+        assert all(one in alone[d] for d in range(3))
+        both = check_chunks(spark, [f"{line(6)}\n{one}\n{two}\n{line(6)}" for _ in range(3)])
+        assert one in both[0] and not any(x in both[d].split("\n") for d in (1, 2) for x in (one, two))
+
+
+def test_planted_passages_in_chunks(spark):
+    """Passages of over 50 words go at any number of lines from two, whatever stands around."""
+    rnd = random.Random(10)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    for n_lines, n_words in ((2, 30), (3, 20), (5, 12), (55, 1)):
+        passage = "\n".join(line(n_words) for _ in range(n_lines))
+        texts = ["\n".join([*(line(9) for _ in range(rnd.randint(0, 4))), passage, *(line(9) for _ in range(rnd.randint(0, 3)))]) for _ in range(8)]
+        got = check_chunks(spark, texts)
+        assert passage in got[0]
+        assert [got[d] for d in range(1, 8)] == [t.replace(passage, "").replace("\n\n", "\n").strip("\n") for t in texts[1:]]
+
+
+def test_chunks_of_odd_rows(spark):
+    """Nulls in both columns, repeated rows and ids, clashing names, an empty table."""
+    text = "one a\ntwo b\nthree c"
+    rows = [(5, text, 1), (5, text, 2), (None, text, 3), (None, None, 4), (6, None, 5), (7, "", 6), (8, "x\n" + text, 7)]
+    df = stage_input(spark, rows)
+    got = linededup.dedup_chunks(df)
+    assert [c for c in got.columns if c not in ("n_lines", "n_removed")] == [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    got = sorted(got.collect(), key=lambda r: r.n_chars)
+    assert [r.text for r in got if r.n_chars > 2] == ["", None, None, "", "x"] and sorted(r.text for r in got[:2]) == ["", text]
+    assert linededup.dedup_chunks(df.limit(0)).count() == 0

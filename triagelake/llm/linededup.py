@@ -1,6 +1,18 @@
 """Removal of repeated passages in content-defined line chunks [native].
 
-Two kinds of passages go (``dedup_passages``; ``dedup_lines`` takes the first only):
+``dedup_chunks`` (the query ``op6_``) rolls a hash over the hashes of neighbouring
+lines.  A text's borders are where that hash is one that no other place of the corpus
+has: what the lines say decides, not where they stand, so lines put in before a chunk
+move nothing.  Between borders lies a chunk of two lines or more, each with its
+neighbour known from another place; the bytes of the neighbours are compared, and
+lines of a chunk go as far as an earlier place has the same ones side by side.  No
+number of words matters: a single line never goes, two lines that stand together
+again always do.  Lines without a word are no neighbours and go with those before them.
+Texts of rows without a chunk are not shuffled again after the first look.
+
+The other functions (the pipeline uses ``keep_first``) cut by a divisor and take words
+into account.  Two kinds of passages go (``dedup_passages``; ``dedup_lines`` takes the
+first only):
 
 * Chunks.  A rolling hash over the hashes of the last two lines ends a chunk where
   it is 0 modulo ``divisor``, and a long line (50 words or more) ends and begins
@@ -150,6 +162,64 @@ def _columns(df: DataFrame, text: str) -> list:
     return [(F.col("_text") if c == text else F.col("row").getField(c)).alias(c) for c in df.columns]
 
 
+# ---- chunks between borders where the rolling hash is nowhere else -------------
+
+def with_neighbours(df: DataFrame) -> DataFrame:
+    """Adds to a column _body _lines and _at (the places of lines with a word)."""
+    out = hold(df, _lines=F.split(F.coalesce(F.col("_body"), F.lit("")), "\n", -1))
+    return hold(out, _at=F.expr(r"filter(sequence(0, size(_lines) - 1), i -> _lines[i] rlike '\\S')"))
+
+
+def rolled(rows: DataFrame, hash_bits: int) -> DataFrame:
+    """_id, _row, i, h: the rolling hash of each line with a word (the i-th) and the next."""
+    out = hold(with_neighbours(rows), _hashes=F.expr("transform(_at, i -> xxhash64(_lines[i]))"))
+    both = lambda i: F.xxhash64(F.get("_hashes", i - 1), F.get("_hashes", i))
+    each = F.transform(F.sequence(F.lit(1), F.size("_at") - 1), lambda i: F.shiftrightunsigned(both(i), 64 - hash_bits))
+    return out.filter(F.size("_at") > 1).select("_id", "_row", F.posexplode(each).alias("i", "h"))
+
+
+def _unchained(df: DataFrame, key: str, text: str, hash_bits: int) -> DataFrame:
+    """row (the input's columns but the text), _text, n_lines and n_removed."""
+    spark = df.sparkSession
+    packed = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row")
+    rows = stage_table(spark, with_id(df, key).select(packed, "_id", F.col(text).alias("_body"), F.monotonically_increasing_id().alias("_row")), "rows")
+    refs = stage_table(spark, rolled(rows.select("_id", "_row", "_body"), hash_bits), "neighbours")
+    known = refs.groupBy("h").count().filter("count > 1").select("h")
+    chunks = refs.join(known, "h").groupBy("_row").agg(F.collect_list(F.struct("i", "h")).alias("_near"))
+    marked = stage_table(spark, rows.join(chunks, "_row", "left"), "marked")
+
+    near = with_neighbours(marked.filter("_near is not null"))
+    spots = near.select("_id", "_row", F.explode("_near").alias("c"), "_lines", "_at").select(
+        "_id", "_row", "c.i", "c.h", F.expr("_lines[_at[c.i]] || '\n' || _lines[_at[c.i + 1]]").alias("bytes"))
+    # one hash, one pair of lines: the aggregation compares their bytes
+    clashes = stage_table(spark, spots.select("h", "bytes").distinct().groupBy("h").count().filter("count > 1").select("h"), "clashes")
+    if clashes.isEmpty():
+        spots, same = marked.select("_id", "_row", F.explode("_near").alias("c")).select("_id", "_row", "c.*"), ["h"]
+    else:
+        told = spots.join(clashes.withColumn("clash", F.lit(True)), "h", "left")
+        spots, same = told.withColumn("bytes", F.when(F.col("clash"), F.col("bytes")).otherwise("")).drop("clash"), ["h", "bytes"]
+    first = spots.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("_id", "_row", "i")).alias("first")).filter("n > 1")
+    first = first.select(*same, F.col("first._row").alias("first_row"), F.col("first.i").alias("first_i"))
+    gone = spots.join(first, same).filter("_row <> first_row or i > first_i + 1").groupBy("_row").agg(F.collect_list("i").alias("_gone"))
+
+    cut = with_neighbours(marked.filter("_near is not null").drop("_near").join(gone, "_row", "left"))
+    out = "flatten(transform(_gone, i -> sequence(_at[i], coalesce(get(_at, i + 2), size(_lines)) - 1)))"
+    cut = hold(cut, _kept=F.when(F.col("_gone").isNotNull(), F.expr(f"array_except(sequence(0, size(_lines) - 1), {out})")))
+    n = F.size("_lines").cast("long")
+    left = F.when(F.col("_kept").isNull(), F.col("_body")).otherwise(F.expr("array_join(transform(_kept, i -> _lines[i]), '\n')"))
+    cut = cut.select("row", left.alias("_text"), n.alias("n_lines"), F.when(F.col("_kept").isNull(), 0).otherwise(n - F.size("_kept")).cast("long").alias("n_removed"))
+    whole = marked.filter("_near is null")
+    n = F.size(F.split(F.coalesce(F.col("_body"), F.lit("")), "\n", -1)).cast("long")
+    return cut.unionByName(whole.select("row", F.col("_body").alias("_text"), n.alias("n_lines"), F.lit(0).cast("long").alias("n_removed")))
+
+
+def dedup_chunks(df: DataFrame, key: str = "doc_id", text: str = "text", hash_bits: int = 64) -> DataFrame:
+    """``df`` with what repeats of its multi-line chunks taken out of ``text``, n_lines (of the
+    input) and n_removed (lines taken out).  ``hash_bits`` (up to 64) has no effect on the result."""
+    df = df.drop("n_lines", "n_removed")
+    return _unchained(df, key, text, hash_bits).select(*_columns(df, text), "n_lines", "n_removed")
+
+
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = 3, long_words: int = 50, runs: bool = False) -> DataFrame:
     """``df`` with the repeated chunks (with ``runs``, and the repeated runs) taken out of
     ``text``, n_lines (of the input) and n_removed (lines taken out)."""

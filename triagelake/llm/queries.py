@@ -38,7 +38,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = linededup.dedup_passages(table(spark, sf_dir, "documents"))
+    cleaned = linededup.dedup_chunks(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
