@@ -3,10 +3,10 @@
 import pytest
 from oracle import compare
 
-from triagelake.plans import catalog, quality_plans, text_plans
+from triagelake.plans import alignment_plans, catalog, quality_plans, text_plans
 
 DATA = "/root/testdata"
-LARGER = {**text_plans.REGISTRY.oracles, **quality_plans.REGISTRY.oracles}
+LARGER = {**text_plans.REGISTRY.oracles, **quality_plans.REGISTRY.oracles, **alignment_plans.REGISTRY.oracles}
 CASES = [(n, "sf0.001") for n in sorted(catalog.ORACLES)] + [(n, "sf0.01") for n in sorted(LARGER)]
 
 
