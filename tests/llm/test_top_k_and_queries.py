@@ -66,6 +66,28 @@ def test_top_k_of_huge_components(spark):
             topk.top_k(bad, F.col("vec_id") % 100 == 0, k=1, scale=1.0).collect()
 
 
+def test_lists_and_slices_that_norms_rule_out():
+    """Local scores taken in phases two and three: well below all where norms differ, and
+    no more than all where they do not; the rows are those of brute force."""
+    rng = np.random.default_rng(7)
+    for spread, most in ((1.0, 0.5), (0.0, 1.0)):  # 0.38 of all where norms differ
+        c = (rng.normal(size=(4096, 32)) * np.exp(spread * rng.normal(size=(4096, 1))) * 1024).astype(np.int64)
+        c = c[np.argsort(-(c.astype(float) ** 2).sum(axis=1))]
+        q, k = c[::100][:40], 10
+        ids, q_ids = np.arange(len(c)), np.arange(len(c))[::100][:40]
+        n = topk.gathered(len(c), k)
+        best = {}
+        for i, s in topk.phase_one(q_ids, q, ids[:n], c[:n], k, 4):
+            best.setdefault(i, []).append(int(s))
+        cut = np.array([sorted(best[i])[-k] for i in q_ids], float)
+        done = []
+        got = {(r.query_id, r.vec_id): r.score for f in topk.phases_two_and_three(q_ids, q, cut, ids, c, 4, done=done) for r in f.itertuples()}
+        full = q @ c.T
+        want = {(int(a), int(b)): int(full[i, b]) for i, a in enumerate(q_ids) for b in np.nonzero(full[i] >= cut[i])[0] if a != b}
+        assert got == want and len(got) >= k * len(q)
+        assert sum(done) <= most * 4 * len(q) * len(c), sum(done) / (4 * len(q) * len(c))
+
+
 def test_queries_equal_sql(spark):
     for name, sql in queries.ORACLES.items():
         assert compare(spark, queries.QUERIES[name], sql, SF) == "", name

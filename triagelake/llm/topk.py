@@ -4,12 +4,14 @@ Vectors become integers.  Queries and candidates are packed into blocks of rows,
 every query block meets every candidate block once, and the dimensions are cut
 into m lists, each giving a local score (the inner product over its dimensions).
 
-1. Each list of a block names its k best candidates of a query; their exact sums
-   are taken, and the k-th best of all blocks' sums is a safe cutoff: k vectors
-   reach it.
+1. Each list of a block names its k best candidates of a query among an eighth of the
+   block's rows, those of the greatest norms (``gathered``); their exact sums are taken,
+   and the k-th best of all blocks' sums is a safe cutoff: k vectors reach it.
 2. The cutoff goes to all blocks.  A vector that reaches the cutoff c has a local
    score of c / m or more in one list at least, so each list collects its entries
-   from there on; one that no list collects is out.
+   from there on; one that no list collects is out.  A list whose norms (the query's
+   times the greatest of a slice of candidates) stay below c / m is not computed for that
+   query there; blocks are filled in the order of norms.
 3. A collected vector's sum is at most its seen local scores and c / m for each
    list that has not collected it; where that bound reaches c, the exact sum is
    taken, and sums of c or more go to the final ranking.
@@ -127,27 +129,57 @@ def phase_one(q_ids, q, c_ids, c, k: int, n_lists: int) -> Iterator[tuple[int, i
                 yield int(q_ids[lo + i]), str(int(s))
 
 
-def phases_two_and_three(q_ids, q, cutoffs, c_ids, c, n_lists: int) -> Iterator[pd.DataFrame]:
-    """(query_id, vec_id, score) of every candidate that reaches the query's cutoff."""
+def gathered(n: int, k: int) -> int:
+    """How many of a block's n rows phase one looks at."""
+    return min(n, max(4 * k, -(-n // 8)))
+
+
+def norms(x: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """lists x rows."""
+    f = x.astype(float)
+    return np.stack([np.sqrt((f[:, a:b] ** 2).sum(axis=1)) for a, b in zip(borders[:-1], borders[1:])])
+
+
+def phases_two_and_three(q_ids, q, cutoffs, c_ids, c, n_lists: int, slice_rows: int = 512, done: list | None = None) -> Iterator[pd.DataFrame]:
+    """(query_id, vec_id, score) of every candidate that reaches the query's cutoff; to
+    ``done`` goes how many local scores each slice took."""
     q, c, borders = _matrices(q, c, n_lists)
+    q_norms, c_norms = norms(q, borders), norms(c, borders)
     for lo in range(0, len(q), 256):
-        scores = local_scores(q[lo : lo + 256], c, borders)
+        mine, my_ids = q[lo : lo + 256], q_ids[lo : lo + 256]
         known = ~np.isnan(cutoffs[lo : lo + 256])
         cut = np.where(known, np.nan_to_num(cutoffs[lo : lo + 256]), -np.inf)
         cut = np.where(np.abs(cut) < 2.0**53, cut, np.nextafter(cut, -np.inf))  # a float may have rounded it up
         share = np.nextafter(cut / n_lists, -np.inf)[:, None]
-        near = scores.astype(float)  # of sums beyond 2**53 the bounds are rounded, the exact sums below are not
-        near = near if scores.dtype == np.float64 else np.nextafter(near, np.inf)
-        collected = near >= share[None]
-        bound = np.where(collected, near, share[None]).sum(axis=0)
         slack = 1e-6 * np.maximum(1.0, np.abs(np.where(known, cut, 0)))[:, None]  # the bound is rounded
-        open_ = collected.any(axis=0) & (bound + slack >= cut[:, None])
-        open_ &= q_ids[lo : lo + 256, None] != c_ids[None, :]
-        i, j = np.nonzero(open_)
-        exact = scores[:, i, j].sum(axis=0)
-        reach = (exact >= cut[i]).astype(bool)
-        i, j, exact = i[reach], j[reach], exact[reach]
-        yield pd.DataFrame({"query_id": q_ids[lo + i], "vec_id": c_ids[j], "score": as_longs(exact)})
+        for at in range(0, len(c), slice_rows):
+            part, part_ids = c[at : at + slice_rows], c_ids[at : at + slice_rows]
+            most = q_norms[:, lo : lo + 256] * c_norms[:, at : at + slice_rows].max(axis=1)[:, None]  # lists x queries
+            needed = most * (1 + 1e-9) >= share[None, :, 0]
+            if done is not None:
+                done.append(int(needed.sum()) * len(part))
+            if not needed.any():
+                continue
+            bound, some = np.zeros((len(mine), len(part))), np.zeros((len(mine), len(part)), bool)
+            for i in range(n_lists):
+                who = needed[i]
+                bound[~who] += share[~who]
+                if not who.any():
+                    continue
+                asks = mine[:, borders[i] : borders[i + 1]] if who.all() else mine[who, borders[i] : borders[i + 1]]
+                scores = asks @ part[:, borders[i] : borders[i + 1]].T
+                near = scores.astype(float)  # of sums beyond 2**53 the bounds are rounded, the exact sums below are not
+                near = near if scores.dtype == np.float64 else np.nextafter(near, np.inf)
+                collected = near >= share[who]
+                bound[who] += np.where(collected, near, share[who])
+                some[who] |= collected
+            open_ = some & (bound + slack >= cut[:, None]) & (my_ids[:, None] != part_ids[None, :])
+            i, j = np.nonzero(open_)
+            exact = (mine[i] * part[j]).sum(axis=1)
+            reach = (exact >= cut[i]).astype(bool)
+            i, j, exact = i[reach], j[reach], exact[reach]
+            if len(i):
+                yield pd.DataFrame({"query_id": my_ids[i], "vec_id": part_ids[j], "score": as_longs(exact)})
 
 
 def top_k(
@@ -159,7 +191,10 @@ def top_k(
     spark = df.sparkSession
     rows = df.filter(F.col(key).isNotNull() & usable(F.col(vector)))
     ints = to_integers(F.col(vector), scale)
-    candidates = stage_table(spark, pack_blocks(rows.select(F.col(key).alias("vec_id"), ints.alias("v")), candidate_rows), "candidates")
+    each = rows.select(F.col(key).alias("vec_id"), ints.alias("v"))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    by_norm = each.withColumn("norm", norm).sortWithinPartitions(F.desc("norm")).drop("norm")
+    candidates = stage_table(spark, pack_blocks(by_norm, candidate_rows), "candidates")
     asked = rows.filter(is_query).select(F.col(key).alias("vec_id"), ints.alias("v")).dropDuplicates()
     queries = stage_table(spark, pack_blocks(asked, query_rows), "queries")
 
@@ -179,7 +214,8 @@ def top_k(
         for frame in frames:
             for r in frame.itertuples(index=False):
                 q_ids, q, c_ids, c = read(r)
-                yield pd.DataFrame(phase_one(q_ids, q, c_ids, c, k, n_lists), columns=["query_id", "score"])
+                n = gathered(len(c_ids), k)
+                yield pd.DataFrame(phase_one(q_ids, q, c_ids[:n], c[:n], k, n_lists), columns=["query_id", "score"])
 
     # as text, for sums that no long holds
     sums = meet(queries).mapInPandas(first, "query_id long, score string").withColumn("score", F.col("score").cast("decimal(38,0)"))
