@@ -1,6 +1,8 @@
 """Exact top-k against brute force, SQL of the queries, the registry's guard."""
 
 import math
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -141,3 +143,15 @@ def test_the_rest_works_without_this_subpackage(tmp_path):
         "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_the_rest_works_when_both_folders_are_deleted(tmp_path):
+    """Without llm, its tests and the pipeline every other module imports and every other query is there."""
+    gone = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "*.json", "*.md")
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=gone)
+    code = (
+        "import importlib, pkgutil, triagelake, __spark_entry__ as e\n"
+        "for m in pkgutil.walk_packages(triagelake.__path__, 'triagelake.'): importlib.import_module(m.name)\n"
+        "q = e.queries(); assert len(q) >= 68 and not any(n.startswith('op') and n[2].isdigit() for n in q) and set(e.oracle_sql()) == set(q)"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from triagelake.llm.common import stage_table
 
 LAST_ID = 2**63 - 1
+HOT_KEYS = 20_000
 NEWLINE = "\\n"
 #: 128 bits of SHA-256: equal means equal bytes
 DIGEST = "substring(unhex(sha2({}, 256)), 1, 16)"
@@ -178,14 +179,24 @@ def rolled(rows: DataFrame, hash_bits: int) -> DataFrame:
     return out.filter(F.size("_at") > 1).select("_id", "_row", F.posexplode(each).alias("i", "h"))
 
 
+def meet(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``keyed`` (a staged table of ``on`` and n, how many of the rows have
+    it).  Keys of more than 1/20,000 of these rows, fewer than 20,000, go to all tasks, so
+    no task gets all rows of a frequent one; the others are shuffled."""
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(keyed.filter(F.col("n") * HOT_KEYS > total))
+    others = rows.join(hot.select(*on), on, "left_anti").join(keyed.filter(F.col("n") * HOT_KEYS <= total), on)
+    return rows.join(hot, on).unionByName(others)
+
+
 def _unchained(df: DataFrame, key: str, text: str, hash_bits: int) -> DataFrame:
     """row (the input's columns but the text), _text, n_lines and n_removed."""
     spark = df.sparkSession
     packed = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row")
     rows = stage_table(spark, with_id(df, key).select(packed, "_id", F.col(text).alias("_body"), F.monotonically_increasing_id().alias("_row")), "rows")
     refs = stage_table(spark, rolled(rows.select("_id", "_row", "_body"), hash_bits), "neighbours")
-    known = refs.groupBy("h").count().filter("count > 1").select("h")
-    chunks = refs.join(known, "h").groupBy("_row").agg(F.collect_list(F.struct("i", "h")).alias("_near"))
+    known = stage_table(spark, refs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "known")
+    chunks = meet(refs, known, ["h"]).groupBy("_row").agg(F.collect_list(F.struct("i", "h")).alias("_near"))
     marked = stage_table(spark, rows.join(chunks, "_row", "left"), "marked")
 
     near = with_neighbours(marked.filter("_near is not null"))
@@ -199,8 +210,8 @@ def _unchained(df: DataFrame, key: str, text: str, hash_bits: int) -> DataFrame:
         told = spots.join(clashes.withColumn("clash", F.lit(True)), "h", "left")
         spots, same = told.withColumn("bytes", F.when(F.col("clash"), F.col("bytes")).otherwise("")).drop("clash"), ["h", "bytes"]
     first = spots.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("_id", "_row", "i")).alias("first")).filter("n > 1")
-    first = first.select(*same, F.col("first._row").alias("first_row"), F.col("first.i").alias("first_i"))
-    gone = spots.join(first, same).filter("_row <> first_row or i > first_i + 1").groupBy("_row").agg(F.collect_list("i").alias("_gone"))
+    first = stage_table(spark, first.select(*same, "n", F.col("first._row").alias("first_row"), F.col("first.i").alias("first_i")), "first")
+    gone = meet(spots, first, same).filter("_row <> first_row or i > first_i + 1").groupBy("_row").agg(F.collect_list("i").alias("_gone"))
 
     cut = with_neighbours(marked.filter("_near is not null").drop("_near").join(gone, "_row", "left"))
     out = "flatten(transform(_gone, i -> sequence(_at[i], coalesce(get(_at, i + 2), size(_lines)) - 1)))"
