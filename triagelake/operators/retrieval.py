@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions.text import contains_any, first_filled, hold, squeeze, strip, windows
+from triagelake.operators.dense_blocks import block_top_k
 
 RRF = 60
 
@@ -63,11 +64,11 @@ def dense_scores(queries: DataFrame, corpus: DataFrame, by: list[str] | None = N
     return salted.join(spread, "salt").select("query_id", *by, "cid", F.round(dot(F.col("q"), F.col("v")) / (F.col("q_len") * F.col("v_len")), 6).alias("score"))
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | None = None, salts: int | None = None) -> DataFrame:
-    """queries: query_id, q (vector); corpus: cid, v.  query_id, cid, score and
-    1-based rank of the k most similar (cosine), for each of ``by`` (columns of
-    corpus).  A side small enough to be sent to all is chosen by the planner."""
-    scored = dense_scores(queries, corpus, by, salts)
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """queries: query_id, q (vector); corpus: cid, v.  query_id, by, cid, score and 1-based
+    rank of the k most similar (cosine), for each of ``by`` (columns of corpus).  Blocks of
+    queries meet blocks of rows, and only each block's k best are ranked."""
+    scored = block_top_k(queries, corpus, k, by)
     w = Window.partitionBy("query_id", *(by or [])).orderBy(F.desc("score"), "cid")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
