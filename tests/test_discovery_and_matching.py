@@ -63,3 +63,18 @@ def test_matching_equals_all_pairs(spark, monkeypatch):
         got = {r.lid: (r.rid, r.rname, r.is_exact) for r in quality.containment_match(ldf, rdf).collect()}
         assert got == want
     assert quality.containment_match(ldf.limit(0), rdf).count() == 0 == quality.containment_match(ldf, rdf.limit(0)).count()
+
+
+def test_equal_names_meet_once_in_few_blocks(spark, monkeypatch):
+    """72 parts of patterns are not built once for each shuffle partition, and a name that many
+    ids share is read once, whatever the number of ids."""
+    assert multi_match.grid(200, 7_200_000, 200) == (72, 1) and multi_match.grid(7_200_000, 400_000, 200) == (4, 50) and multi_match.grid(0, 0, 200) == (1, 1)
+    monkeypatch.setattr(multi_match, "LEAST_TEXTS", 1)
+    seen = spark.sparkContext.accumulator(0)
+    real = multi_match.automaton
+    monkeypatch.setattr(multi_match, "automaton", lambda names, ids: (seen.add(len(names)), real(names, ids))[1])
+    left = spark.createDataFrame([(i, f"name {i % 3} of all") for i in range(300)], "lid long, lname string")
+    right = spark.createDataFrame([(f"r{i}", f"name {i % 3}") for i in range(60)], "rid string, rname string")
+    got = {r.lid: r.rid for r in quality.containment_match(left, right).collect()}
+    assert got == {i: min(f"r{j}" for j in range(60) if j % 3 == i % 3) for i in range(300)}
+    assert 6 <= seen.value <= 3 * 2 * 4  # three names on either side, in no more than four buckets

@@ -12,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART = 100_000
+from triagelake.sources.staging import staged
+
+#: Patterns of a part; texts of a bucket at most and, where there are tasks enough, at least.
+PART, MOST_TEXTS, LEAST_TEXTS = 100_000, 500_000, 1000
 
 
 def automaton(names: list[str], ids: list) -> ahocorasick.Automaton:
@@ -28,40 +31,46 @@ def automaton(names: list[str], ids: list) -> ahocorasick.Automaton:
     return out
 
 
+def grid(n_texts: int, n_patterns: int, tasks: int) -> tuple[int, int]:
+    """Parts of the patterns and buckets of the texts: as few as memory and ``tasks`` ask for,
+    because each bucket builds the automaton of each part, and each part reads each text."""
+    parts = max(1, -(-n_patterns // PART))
+    return parts, max(1, -(-n_texts // MOST_TEXTS), min(-(-tasks // parts), -(-n_texts // LEAST_TEXTS)))
+
+
 def _meet(texts: DataFrame, patterns: DataFrame, of_text: bool) -> DataFrame:
     """texts: tid, tname; patterns: pid, pname (no nulls, not empty).  tid, pid, pname: of
     each text its longest pattern, then the first by name and id; or, not ``of_text``,
-    pid, tid, tname: of each pattern the longest text that holds it."""
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-patterns.count() // PART))
+    pid, tid, tname: of each pattern the longest text that holds it.  Equal names meet once."""
+    asked, given = (texts, patterns) if of_text else (patterns, texts)
+    whose, key, other, name = ("tid", "tname", "pid", "pname") if of_text else ("pid", "pname", "tid", "tname")
+    asked_names = staged(asked.select(key).distinct(), "names")
+    given_names = staged(given.groupBy(name).agg(F.min(other).alias(other)), "names")
+    t, p = (asked_names, given_names) if of_text else (given_names, asked_names)
+    parts, buckets = grid(t.count(), p.count(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    t = texts.select("tid", "tname", F.pmod(F.xxhash64("tid", "tname"), F.lit(buckets)).cast("int").alias("bucket"), each(parts).alias("part"))
-    p = patterns.select("pid", "pname", F.pmod(F.xxhash64("pname"), F.lit(parts)).cast("int").alias("part"), each(buckets).alias("bucket"))
-    tid, pid = (texts.schema["tid"].dataType.simpleString(), patterns.schema["pid"].dataType.simpleString())
-    schema = f"tid {tid}, pid {pid}, pname string" if of_text else f"pid {pid}, tid {tid}, tname string"
+    t = t.withColumn("bucket", F.pmod(F.xxhash64("tname"), F.lit(buckets)).cast("int")).withColumn("part", each(parts))
+    p = p.withColumn("part", F.pmod(F.xxhash64("pname"), F.lit(parts)).cast("int")).withColumn("bucket", each(buckets))
+    schema = f"{key} string, {other} {given.schema[other].dataType.simpleString()}, {name} string"
 
     def find(read: pa.Table, known: pa.Table) -> pa.Table:
-        names, ids = read.column("tname").to_pylist(), read.column("tid").to_pylist()
+        names, patterns_here = read.column("tname").to_pylist(), known.column("pname").to_pylist()
+        ids = read.column("tid").to_pylist() if not of_text else names
         best: dict = {}
         if len(read) and len(known):
-            tree = automaton(known.column("pname").to_pylist(), known.column("pid").to_pylist())
-            for name, one in zip(names, ids):
-                for _, (size, pattern, pattern_id) in tree.iter(name):
-                    key, rank = (one, (-size, pattern, pattern_id)) if of_text else (pattern, (-len(name), name, one))
-                    if key not in best or rank < best[key]:
-                        best[key] = rank
-        if of_text:
-            rows = [(k, r[2], r[1]) for k, r in best.items()]
-        else:
-            rows = [(pattern_id, best[name][2], best[name][1]) for name, pattern_id in zip(known.column("pname").to_pylist(), known.column("pid").to_pylist()) if name in best]
-        kinds = {"tid": read.schema.field("tid").type, "pid": known.schema.field("pid").type, "pname": pa.string(), "tname": pa.string()}
-        columns = list(zip(*rows)) if rows else [(), (), ()]
-        return pa.table({f.split()[0]: pa.array(c, kinds[f.split()[0]]) for f, c in zip(schema.split(", "), columns)})
+            tree = automaton(patterns_here, known.column("pid").to_pylist() if of_text else patterns_here)
+            for text, one in zip(names, ids):
+                for _, (size, pattern, pattern_id) in tree.iter(text):
+                    mine, rank = (text, (-size, pattern, pattern_id)) if of_text else (pattern, (-len(text), text, one))
+                    if mine not in best or rank < best[mine]:
+                        best[mine] = rank
+        kind = (known if of_text else read).schema.field(other).type
+        return pa.table({key: pa.array(best, pa.string()), other: pa.array([r[2] for r in best.values()], kind), name: pa.array([r[1] for r in best.values()], pa.string())})
 
     found = t.groupBy("part", "bucket").cogroup(p.groupBy("part", "bucket")).applyInArrow(find, schema)
-    whose, other, name = ("tid", "pid", "pname") if of_text else ("pid", "tid", "tname")
     rank = F.struct((-F.length(name)).alias("n"), F.col(name), F.col(other))
-    return found.groupBy(whose).agg(F.min(rank).alias("_best")).select(whose, f"_best.{other}", f"_best.{name}")
+    of_name = found.groupBy(key).agg(F.min(rank).alias("_best"))
+    return asked.join(of_name, key).groupBy(whose).agg(F.min("_best").alias("_best")).select(whose, f"_best.{other}", f"_best.{name}")
 
 
 def longest_pattern(texts: DataFrame, patterns: DataFrame) -> DataFrame:
