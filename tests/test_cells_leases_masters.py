@@ -112,3 +112,14 @@ def test_department_master(spark):
     assert code == "DEPT-" + hashlib.sha1("广州市白云区水务局".encode()).hexdigest()[:16]
     names = {r.name for r in masters.coverage_names(files).collect()}
     assert names == {"广州市白云区水务局_行政处罚", "广州市白云区水务局", "广州市白云区城管局_行政许可", "疑似数据异常", "越秀区水务局", "三元里街", "白云区教育局"}
+
+
+def test_cells_keep_the_best_of_a_part(spark):
+    """No row is made of each pair: of a part of a cell k rows a query are left."""
+    rng = np.random.default_rng(4)
+    corpus = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(600)], "cid long, v array<double>")
+    queries = corpus.filter("cid < 20").select(F.col("cid").alias("query_id"), F.col("v").alias("q"))
+    counts: list[int] = []
+    index = vector_cells.build_cells(corpus, n_cells=4)
+    vector_cells.search_cells(index, queries, 5, None, counts).count()
+    assert counts[2] <= 5 * counts[1]
