@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from triagelake.operators import lexical_index as lex
+from triagelake.operators import retrieval
 from triagelake.sources.staging import shared_path
 
 
@@ -87,3 +88,20 @@ def test_postings_count_every_trigram(spark):
         for i in range(len(t or "") - 2):
             want[lex.gram_key(t[i : i + 3])] = want.get(lex.gram_key(t[i : i + 3]), 0) + 1
     assert got == want
+
+
+def test_totals_of_trigrams(spark):
+    """Counted within tasks as from the postings: ids in several rows, null ids and texts, short
+    texts, characters beyond the first plane."""
+    rows = [(i % 40 if i % 7 else None, "Ab c" * (i % 5) + "𝒳ya𝒳ya" * (i % 3) + "é"[: i % 2]) for i in range(120)] + [(500, None), (501, "ab"), (502, ""), (503, "ABC abc aBC")]
+    corpus = spark.createDataFrame(rows, "cid long, content string")
+    pairs = {}
+    for cid, text in rows:
+        low = (text or "").lower()
+        for i in range(len(low) - 2):
+            pairs.setdefault(low[i : i + 3], []).append(cid)
+    got = {r.term: (r.df, r.n) for r in lex.term_totals(corpus).collect()}
+    assert got == {t: (len(set(c)), len(c)) for t, c in pairs.items()}
+    one = corpus.filter("cid > 499")
+    tf, _ = retrieval.postings(one)
+    assert {(r.term, r.n) for r in tf.groupBy("term").agg({"tf": "sum"}).toDF("term", "n").collect()} == {(r.term, r.n) for r in lex.term_totals(one).collect()}

@@ -14,6 +14,7 @@ left out.  The results are those of scoring everything.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from triagelake.operators.chunking import slices
+from triagelake.operators.retrieval import postings
 from triagelake.sources.staging import staged
 
 POSTINGS = "block int, field string, gram long, n int, max_tf int, min_dl long, docs array<int>, tfs array<int>, places array<int>"
@@ -128,6 +131,39 @@ def build_index(corpus: DataFrame, text: str = "content", field: str | None = No
     return LexicalIndex(rows.groupBy("block").applyInArrow(_invert, POSTINGS), sizes, n_blocks)
 
 
+def term_totals(corpus: DataFrame, text: str = "content") -> DataFrame:
+    """corpus: cid and ``text``.  term, df (ids with it) and n (places) of every trigram, as from
+    ``retrieval.postings``, but a task counts within its texts and shuffles sums alone.  Ids that
+    stand in several rows are counted by their postings."""
+    rows = corpus.select("cid", F.lower(F.coalesce(F.col(text), F.lit(""))).alias("content"))
+    many = staged(rows.groupBy("cid").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("cid").alias("_cid")), "repeated")
+    same = F.col("cid").eqNullSafe(F.col("_cid"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for whole in batches for p in slices(whole, "content")):
+            codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in part.column("content").to_pylist()]
+            codes = [c for c in codes if len(c) > 2]
+            if not codes:
+                continue
+            gram, at, n = np.unique(np.concatenate([grams_of(c) for c in codes]), return_inverse=True, return_counts=True)
+            whose = np.repeat(np.arange(len(codes)), [len(c) - 2 for c in codes])
+            pairs = np.sort(at.reshape(-1) * len(codes) + whose)
+            pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.bincount(pairs // len(codes), minlength=len(gram))), pa.array(n)], names=["gram", "df", "n"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column("gram").to_numpy()
+            marks = np.stack([g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            yield pa.RecordBatch.from_arrays([pa.array([marks[i : i + 3] for i in range(0, len(marks), 3)], pa.string()), batch.column("df"), batch.column("n")], names=["term", "df", "n"])
+
+    once = rows.join(many, same, "left_anti").select("content").mapInArrow(count, "gram long, df long, n long")
+    summed = once.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).mapInArrow(spell, "term string, df long, n long")
+    tf, _ = postings(rows.join(many, same, "left_semi"))
+    both = summed.unionByName(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")))
+    return both.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+
+
 # ---- searching ---------------------------------------------------------------
 
 def _lists(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
