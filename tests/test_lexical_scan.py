@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+import pytest
 
 import __spark_entry__
 from test_lexical_index import plain
@@ -100,20 +100,23 @@ def shuffled_mb(spark, df):
     return total / 1e6
 
 
-def test_no_text_or_posting_is_shuffled_or_written(spark, tmp_path):
-    """What the lexical queries stage and shuffle grows with tasks, not with texts (the stored index wrote
-    every place of every trigram, and shuffled texts and hits)."""
-    rnd = random.Random(6)
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    rnd, folder = random.Random(6), tmp_path_factory.mktemp("tables")
     words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
-    folder = tmp_path / "tables"
-    spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source")).join(
-        spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(60))) for i in range(3000)], "doc_id long, text string"), "doc_id"
-    ).repartition(4).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, "s", " ".join(rnd.choice(words) for _ in range(60))) for i in range(3000)], "doc_id long, source string, text string").repartition(4).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(20))) for i in range(20)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 3, [rnd.random() for _ in range(4)]) for i in range(400)], "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize(("name", "rows"), [("bm25_topk", 200), ("bm25_weighted", 200), ("hybrid_search_by_category", 144)])
+def test_no_text_or_posting_is_shuffled_or_written(spark, tables, name, rows):
+    """What the lexical queries stage and shuffle grows with tasks, not with texts (the stored index wrote
+    every place of every trigram, and shuffled texts and hits)."""
     shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
-    for name in ("bm25_topk", "bm25_weighted"):
-        before = set(shared.rglob("*.parquet"))
-        got = __spark_entry__.queries()[name](spark, str(folder))
-        assert len(got.collect()) == 200
-        assert shuffled_mb(spark, got) < 0.3
-        assert sum(f.stat().st_size for f in set(shared.rglob("*.parquet")) - before if f.is_file()) < 300_000
+    before = set(shared.rglob("*.parquet"))
+    got = __spark_entry__.queries()[name](spark, tables)
+    assert len(got.collect()) == rows
+    assert shuffled_mb(spark, got) < 0.3
+    assert sum(f.stat().st_size for f in set(shared.rglob("*.parquet")) - before if f.is_file()) < 300_000
