@@ -110,7 +110,7 @@ def tables(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize(("name", "rows"), [("bm25_topk", 200), ("bm25_weighted", 200), ("hybrid_search_by_category", 144)])
+@pytest.mark.parametrize(("name", "rows"), [("bm25_topk", 200), ("bm25_weighted", 200), ("hybrid_search", 48), ("hybrid_search_by_category", 144)])
 def test_no_text_or_posting_is_shuffled_or_written(spark, tables, name, rows):
     """What the lexical queries stage and shuffle grows with tasks, not with texts (the stored index wrote
     every place of every trigram, and shuffled texts and hits)."""
