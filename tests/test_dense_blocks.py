@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from test_lexical_scan import shuffled_mb
 from triagelake.operators import dense_blocks, retrieval
 
 
@@ -61,3 +62,37 @@ def test_evidence_by_blocks(spark):
         columns = ["query_id", "evidence_id", "group_no", "score", "pos"]
         got, want = (rows_of(retrieval.evidence_pack(x.select("query_id", "group_no", "evidence_id", "arrival", "score"), ["query_id"], 12), columns) for x in (few, every))
         assert got == want
+
+
+def test_many_blocks_of_a_task_and_passes_of_queries(spark, monkeypatch):
+    """Small blocks, little room for what they found, several passes: the rows are those of all pairs."""
+    monkeypatch.setattr(dense_blocks, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(dense_blocks, "LEAST_QUERIES", 5)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6).round(1).tolist(), i % 4 if i % 9 else None) for i in range(900)]
+    rows += [(1000 + i, rows[3][1], 2) for i in range(60)] + [(2000, None, 1), (2001, [1.0, None] + [0.5] * 4, 1), (2002, [float("nan")] + [1.0] * 5, 2), (None, rows[5][1], 3)]
+    corpus = spark.createDataFrame(rows, "cid long, v array<double>, label int")
+    queries = corpus.filter("cid % 50 = 0 or cid > 2000").select(F.struct("cid", "label").alias("query_id"), F.col("v").alias("q"))
+    for state in (1 << 21, 300, 10):
+        monkeypatch.setattr(dense_blocks, "STATE", state)
+        for k, by in ((7, []), (3, ["label"])):
+            columns = ["query_id", *by, "cid", "score", "rank"]
+            assert rows_of(retrieval.dense_top_k(queries, corpus, k, by), columns) == rows_of(by_pairs(queries, corpus, k, by), columns)
+
+
+def test_what_is_shuffled_grows_with_the_rows(spark, monkeypatch):
+    """Eight times the rows and queries: the copies of rows and the rows found by each block grew by more."""
+    monkeypatch.setattr(dense_blocks, "LEAST_ROWS", 100)
+    before, made = spark.conf.get("spark.sql.shuffle.partitions"), []
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for n in (1000, 8000):
+            corpus = spark.range(n).select(F.col("id").alias("cid"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.sin(F.col("id") * 7 + i * i)).alias("v"))
+            queries = corpus.filter("cid % 10 = 0").select(F.col("cid").alias("query_id"), F.col("v").alias("q"))
+            found = retrieval.dense_top_k(queries, corpus, 5)
+            assert found.count() == n // 10 * 5
+            found.collect()
+            made.append((dense_blocks.block_top_k(queries, corpus, 5).count(), shuffled_mb(spark, found)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[1][0] <= 8 * made[0][0] and made[1][1] < 10 * made[0][1]

@@ -13,14 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.operators.lexical_index import inverse_frequency
-from triagelake.sources.staging import shared_path, staged
+from triagelake.sources.staging import read_rows, shared_path, staged
 
 #: Keys below this are numbered by a table of them all.
 DENSE = 1 << 24
@@ -146,13 +144,6 @@ class Terms:
         return out
 
 
-def read_rows(path: str, columns: list[str]) -> pa.Table:
-    """A staged table, read by a task."""
-    fs, root = pafs.FileSystem.from_uri(path)
-    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet"))
-    return pa.concat_tables([pq.read_table(f, filesystem=fs, columns=columns, partitioning=None) for f in files])
-
-
 def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Parts of about SLICE_BYTES of texts and ``most`` rows."""
     for batch in batches:
