@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__
 from test_lexical_index import plain
-from triagelake.operators import lexical_index, lexical_scan
+from triagelake.operators import lexical_index, lexical_scan, retrieval
 
 
 def check(spark, docs, queries, k, weights=None, kind="long", **how):
@@ -120,3 +120,29 @@ def test_no_text_or_posting_is_shuffled_or_written(spark, tables, name, rows):
     assert len(got.collect()) == rows
     assert shuffled_mb(spark, got) < 0.3
     assert sum(f.stat().st_size for f in set(shared.rglob("*.parquet")) - before if f.is_file()) < 300_000
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "hybrid_search_by_category"])
+def test_each_search_of_a_hybrid_query_is_made_once(spark, tables, name):
+    """One ranking of texts and one of vectors (the fusion used both lists twice, and each was made twice)."""
+    got = __spark_entry__.queries()[name](spark, tables)
+    got.collect()
+    made, left = [], [got._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+            continue
+        made += [kind] if "Arrow" in kind else []
+        left += [node.plan()] if "QueryStage" in kind else []
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(made) == 2, made
+
+
+def test_fusion_of_several_lists(spark):
+    """Shares of all sub-queries are summed, scores are the best of each kind, and rows without a key go."""
+    rows = [(1, "a", 0, 0, 10, 1, 0.9), (1, "a", 0, 1, 10, 3, 7.0), (1, "a", 1, 0, 10, 2, 0.95), (1, "a", 1, 0, 11, 1, 0.99), (1, None, 0, 0, 10, 1, 0.5), (1, "a", 0, 0, None, 2, 0.5)]
+    ranked = spark.createDataFrame(rows, "query_id long, label string, sub int, src int, cid long, rank int, score double")
+    got = {r.cid: (r.label, r.rrf, r.dense, r.lexical, tuple(r.round), tuple(r.first_seen)) for r in retrieval.fuse(ranked, ["query_id", "label"]).collect()}
+    assert got == {10: ("a", round(1 / 61 + 1 / 63 + 1 / 62, 9), 0.95, 7.0, (1, 0), (0, 0, 1)), 11: ("a", round(1 / 61, 9), 0.99, 0.0, (1, 1), (1, 0, 1))}

@@ -5,6 +5,9 @@ Ids and ranks alone pass through ranking; contents are joined at the end.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,21 +166,21 @@ def fuse(ranked: DataFrame, by: list[str]) -> DataFrame:
     """ranked: by, sub (sub-query number), src (0 dense, 1 lexical), cid, rank, score.
 
     rrf, best dense and lexical scores, the place of first sight, and the best
-    place (local rank, sub) within a sub-query's own list (by its summed share)."""
+    place (local rank, sub) within a sub-query's own list (by its summed share).  Rows without
+    a key go."""
     share = F.lit(1.0) / (RRF + F.col("rank"))
-    local = ranked.groupBy(*by, "sub", "cid").agg(F.sum(share).alias("own"), F.min(F.struct("src", "rank")).alias("seen"))
+    top = [F.max(F.when(F.col("src") == i, F.col("score"))).alias(name) for i, name in enumerate(("dense", "lexical"))]
+    local = ranked.groupBy(*by, "sub", "cid").agg(F.sum(share).alias("own"), F.min(F.struct("src", "rank")).alias("seen"), *top)
     w = Window.partitionBy(*by, "sub").orderBy(F.desc(F.round("own", 12)), "seen", "cid")
-    local = local.withColumn("local_rank", F.row_number().over(w))
-    rounds = local.groupBy(*by, "cid").agg(
+    keyed = reduce(and_, [F.col(c).isNotNull() for c in [*by, "cid"]])
+    # one use of the lists, which are searches: used twice, each would be made twice
+    return local.filter(keyed).withColumn("local_rank", F.row_number().over(w)).groupBy(*by, "cid").agg(
+        F.round(F.sum("own"), 9).alias("rrf"),
+        F.coalesce(F.max("dense"), F.lit(0.0)).alias("dense"),
+        F.coalesce(F.max("lexical"), F.lit(0.0)).alias("lexical"),
         F.min(F.when(F.col("local_rank") <= 2, F.struct("local_rank", "sub"))).alias("round"),
         F.min(F.struct(F.col("sub"), F.col("seen.src").alias("src"), F.col("seen.rank").alias("rank"))).alias("first_seen"),
     )
-    total = ranked.groupBy(*by, "cid").agg(
-        F.round(F.sum(share), 9).alias("rrf"),
-        F.coalesce(F.max(F.when(F.col("src") == 0, F.col("score"))), F.lit(0.0)).alias("dense"),
-        F.coalesce(F.max(F.when(F.col("src") == 1, F.col("score"))), F.lit(0.0)).alias("lexical"),
-    )
-    return total.join(rounds, [*by, "cid"])
 
 
 def cover_and_fill(fused: DataFrame, by: list[str], candidates: int, top_k: int, threshold: float = 0.0, score: Column | None = None) -> DataFrame:
